@@ -13,6 +13,7 @@ is kept; other columns of the input are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ from .common import chunks, read
 
 WINDOW, END_ID = 2048, 1
 #: Text in one BM25 shard, and text whose distinct words are encoded at once.
-SHARD_BYTES, ENCODE_BYTES = 1 << 20, 24 << 20
+SHARD_BYTES, ENCODE_BYTES = 1 << 20, 4 << 20
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 1_500_000
 
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -40,12 +43,34 @@ class _Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self._forget()
+
+    def known(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids kept so far, and where each of these distinct words' ids begin and how many they are."""
+        at = pc.index_in(vocabulary, self.kept)
+        new = vocabulary.filter(pc.is_null(at))
+        if len(new):
+            if len(self.kept) + len(new) > KEPT_WORDS:
+                self._forget()
+                new = vocabulary
+            flat, size = self._words(new)
+            self.kept = pa.concat_arrays([self.kept, new])
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+            at = pc.index_in(vocabulary, self.kept)
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.flat, self.begin[at], self.size[at]
+
+    def _forget(self) -> None:
+        self.kept, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.begin = self.size = np.zeros(0, np.int64)
 
     def _words(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of distinct words, and how many each has.
@@ -78,13 +103,12 @@ class _Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """The ids of each text; and for BM25 the word numbers of all texts and their offsets."""
-        lists = pc.split_pattern_regex(texts, r"[ \t\n\v\f\r]+")
+        lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = offsets - offsets[0]
-        flat, size = self._words(coded.dictionary)
-        begin = np.cumsum(size) - size
+        flat, begin, size = self.known(coded.dictionary.cast(pa.string()))
         per_word = size[words]
         upto = np.concatenate([[0], np.cumsum(per_word)])
         where = np.repeat(begin[words] - upto[:-1], per_word) + np.arange(upto[-1])
@@ -223,9 +247,15 @@ def _descending(scores: np.ndarray) -> Iterator[int]:
     yield from rest[np.argsort(-scores[rest], kind="stable")].tolist()
 
 
+#: A worker's encoders, kept from task to task.
+_encoders: dict[str, _Encoder] = {}
+
+
 def _pack(path: str, window: int, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        if path not in _encoders:
+            _encoders[path] = _Encoder(path)
+        encoder = _encoders[path]
         packer = _Packer(window, TaskContext.get().partitionId() << 36)
         id_type = pa.int64()
         for batch in batches:
