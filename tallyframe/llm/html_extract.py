@@ -169,6 +169,7 @@ def templates(pages: DataFrame, min_pages: int = 3, min_class: int = 2, max_link
     """
     counted = pages.mapInArrow(_vectors, "host string, path string, vector long, pages long, chars long, linked long, low long, high long, place int")
     paths = counted.groupBy("host", "path").agg(F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("pages", "chars", "linked")], F.min("low").alias("low"), F.max("high").alias("high"), F.max("place").alias("place"))
+    paths = checkpoint(paths)  # read three times below
     # the members of a class share a vector; the class is named by its shortest path, under which the others nest
     classes = paths.groupBy("host", "vector", "pages").agg(F.count("*").alias("class_size"), F.min_by("path", F.length("path")).alias("class"))
     hosts = paths.groupBy("host").agg((F.max("place") == 2).alias("has_main"))
