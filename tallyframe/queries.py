@@ -1,10 +1,421 @@
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(0)
+"""Queries over the given tables, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import predicates as P
+from .functions.types import KINDS, declared_kind
+from .functions.udfs import Registry
+from .operators import constraints as C
+from .operators import drift, performance, special, summary
+from .operators.profile import COUNTS, merge, profile, profile_many, profile_sets
+from .plans.resolve import Plan, Rule
+from .sources.requests import rows_of_requests
+from .streaming.rolling import rolling_profile
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _long(c):
+    return F.col(c).cast("long").alias(c)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.summarize(profile(_t(spark, sf_dir, "lineitem"))).drop("frequent_items")
+
+
+def _round(*columns, digits=4):
+    return [F.round(c, digits).alias(c) for c in columns]
+
+
+_NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE = {"l_orderkey": "integral", "l_partkey": "integral", "l_suppkey": "integral", "l_linenumber": "integral", "l_quantity": "fractional", "l_extendedprice": "fractional", "l_discount": "fractional", "l_tax": "fractional", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "object"}
+
+
+def _union(parts) -> str:
+    return " UNION ALL ".join(parts)
+
+
+@_query(_union(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS \"null\", 0::BIGINT AS nan, 0::BIGINT AS inf, 0::BIGINT AS \"true\", {', '.join(f'count({c}) AS {k}' if k == kind else f'0::BIGINT AS {k}' for k in KINDS)} FROM lineitem" for c, kind in _LINE.items()))
+def profile_counts_types(spark, d):
+    """Value and type counts of every column."""
+    return profile(_t(spark, d, "lineitem"), Plan("limited")).select("column", *COUNTS, *KINDS)
+
+
+_ODD = "CASE WHEN l_linenumber % 7 = 0 THEN NULL WHEN l_linenumber % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber % 3 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE l_tax END"
+
+
+@_query(f"SELECT 'x' AS \"column\", count(*) AS n, count(*) FILTER (WHERE x IS NULL OR isnan(x)) AS \"null\", count(*) FILTER (WHERE isnan(x)) AS nan, count(*) FILTER (WHERE isinf(x)) AS inf, 0::BIGINT AS \"true\", count(*) FILTER (WHERE NOT isnan(x)) AS d_n FROM (SELECT {_ODD} AS x FROM lineitem) UNION ALL SELECT 'b', count(*), count(*) FILTER (WHERE b IS NULL), 0, 0, count(*) FILTER (WHERE b), count(b) FROM (SELECT CASE WHEN l_linenumber > 1 THEN l_returnflag = 'R' END AS b FROM lineitem)")
+def profile_null_nan_inf(spark, d):
+    """Null, NaN, infinite and true values."""
+    df = _t(spark, d, "lineitem").select(F.expr(_ODD).alias("x"), F.expr("CASE WHEN l_linenumber > 1 THEN l_returnflag = 'R' END").alias("b"))
+    return profile(df).select("column", *COUNTS, "d_n")
+
+
+_ORDER_INTS = ("o_orderkey", "o_custkey")
+
+
+@_query(_union(f"SELECT '{c}' AS \"column\", min({c}) AS int_min, max({c}) AS int_max FROM orders" for c in _ORDER_INTS))
+def profile_ints(spark, d):
+    return profile(_t(spark, d, "orders"), Plan("limited"), columns=list(_ORDER_INTS)).select("column", "int_min", "int_max")
+
+
+@_query(_union(f"SELECT '{c}' AS \"column\", count({c}) AS d_n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, min({c}) AS min, max({c}) AS max FROM lineitem" for c in _NUMERIC))
+def profile_moments(spark, d):
+    """Count, mean, sample deviation and extremes."""
+    p = profile(_t(spark, d, "lineitem"), Plan("limited"), columns=list(_NUMERIC))
+    return p.select("column", "d_n", *_round("mean"), F.round(summary.stddev(), 4).alias("stddev"), "min", "max")
+
+
+@_query("SELECT " + ", ".join(f"quantile_disc(l_extendedprice, {q}) AS {n}" for n, q in summary.QUANTILES.items()) + " FROM lineitem")
+def quantiles_exact(spark, d):
+    return summary.exact_quantiles(_t(spark, d, "lineitem"), "l_extendedprice", summary.QUANTILES, inclusive=True)
+
+
+@_query("WITH s AS (SELECT p_retailprice AS x, row_number() OVER (ORDER BY p_retailprice) - 1 AS i, count(*) OVER () AS n FROM part) SELECT " + ", ".join(f"min(x) FILTER (WHERE i = least(CAST(floor({q}::DOUBLE * n) AS BIGINT), n - 1)) AS {n}" for n, q in summary.QUANTILES.items()) + " FROM s")
+def quantiles_floor_rule(spark, d):
+    """Quantiles as the item at place floor(q * n)."""
+    return summary.exact_quantiles(_t(spark, d, "part"), "p_retailprice", summary.QUANTILES)
+
+
+@_query("SELECT 'l_extendedprice' AS \"column\", true AS ok")
+def quantiles_kll_ok(spark, d):
+    """Whether the sketch's quantiles lie within 1 % of rank of the exact ones."""
+    df = _t(spark, d, "lineitem")
+    p = profile(df, Plan("histogram"), columns=["l_extendedprice"]).select("column", *[summary.quantile(q).alias(n) for n, q in summary.QUANTILES.items()])
+    x = F.col("l_extendedprice")
+    ranks = df.crossJoin(F.broadcast(p)).groupBy("column").agg(*[F.avg((x <= F.col(n)).cast("double")).alias(n) for n in summary.QUANTILES])  # p is one row
+    near = [F.abs(F.col(n) - q) < 0.01 for n, q in summary.QUANTILES.items()]
+    return ranks.select("column", F.forall(F.array(*near), lambda ok: ok).alias("ok"))
+
+
+@_query("SELECT \"column\", true AS ok FROM (VALUES ('l_partkey'), ('l_suppkey'), ('l_returnflag')) t(\"column\")")
+def cardinality_hll_ok(spark, d):
+    """Whether the sketch's distinct counts lie within 5 % of the exact ones."""
+    df = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    exact = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in df.columns])))
+    p = profile(df, Plan("no_items")).select("column", F.hll_sketch_estimate("hll").alias("est"))
+    return p.join(exact, "column").select("column", (F.abs(F.col("est") - F.col("exact")) <= 0.05 * F.col("exact")).alias("ok"))
+
+
+@_query("SELECT event_type AS value, count(*) AS est FROM events GROUP BY 1")
+def topk_sketch_exact_when_few(spark, d):
+    """The sketch's items; they are exact while there are fewer of them than the sketch tracks."""
+    p = profile(_t(spark, d, "events"), columns=["event_type"])
+    return p.select(F.explode(F.expr("approx_top_k_estimate(items, 64)")).alias("i")).select(F.col("i.item").alias("value"), F.col("i.count").alias("est"))
+
+
+@_query("SELECT count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_nationkey) AS nations, count(DISTINCT c_custkey) AS customers FROM customer")
+def cardinality_exact(spark, d):
+    return _t(spark, d, "customer").agg(F.countDistinct("c_mktsegment").alias("segments"), F.countDistinct("c_nationkey").alias("nations"), F.countDistinct("c_custkey").alias("customers"))
+
+
+@_query("SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS est FROM events GROUP BY 1 ORDER BY est DESC, value LIMIT 20")
+def topk_exact(spark, d):
+    """The twenty most frequent users."""
+    return summary.exact_top(_t(spark, d, "events"), "user_id", 20)
+
+
+_BINS = "s AS (SELECT count(x) AS n, min(x) AS lo, max(x) AS hi FROM {t}), w AS (SELECT lo, greatest(2, least(30, CAST(ceil(n / 4.0) AS INT))) AS k, ((hi + abs(hi) * 1e-7) - lo) / greatest(2, least(30, CAST(ceil(n / 4.0) AS INT))) AS width FROM s)"
+
+
+@_query("WITH v AS (SELECT p_retailprice AS x FROM part), " + _BINS.format(t="v") + ", c AS (SELECT CAST(least(floor((x - lo) / width), k - 1) AS INT) AS bin, count(*) AS n FROM v, w GROUP BY 1), e AS (SELECT CAST(range AS INT) AS bin, lo, width FROM w, range(30) WHERE range < k) SELECT e.bin AS bin, round(lo + e.bin * width, 6) AS start, round(lo + (e.bin + 1) * width, 6) AS \"end\", coalesce(c.n, 0) AS count FROM e LEFT JOIN c ON c.bin = e.bin")
+def histogram_bins(spark, d):
+    return summary.histogram(_t(spark, d, "part"), "p_retailprice").select("bin", *_round("start", "end", digits=6), "count")
+
+
+_SEG = "count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(coalesce(stddev_samp(l_extendedprice), 0), 4) AS stddev, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem"
+
+
+def _segmented(p, *keys):
+    return p.select(*keys, "n", *_round("mean"), F.round(summary.stddev(), 4).alias("stddev"), "min", "max")
+
+
+@_query(f"SELECT l_returnflag, {_SEG} GROUP BY l_returnflag")
+def segment_single(spark, d):
+    return _segmented(profile(_t(spark, d, "lineitem"), Plan("limited"), ["l_returnflag"], ["l_extendedprice"]), "l_returnflag")
+
+
+@_query(f"SELECT l_returnflag, l_linestatus, {_SEG} GROUP BY l_returnflag, l_linestatus")
+def segment_multi(spark, d):
+    return _segmented(profile(_t(spark, d, "lineitem"), Plan("limited"), ["l_returnflag", "l_linestatus"], ["l_extendedprice"]), "l_returnflag", "l_linestatus")
+
+
+@_query(f"SELECT 'flag' AS partition, l_returnflag AS segment, {_SEG} GROUP BY 2 UNION ALL SELECT 'status', l_linestatus, {_SEG} GROUP BY 2 UNION ALL SELECT 'both', l_returnflag || ',' || l_linestatus, {_SEG} GROUP BY 2")
+def segment_grouping_sets(spark, d):
+    """Three segmentations at once."""
+    df = _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    p = profile_sets(df, {"flag": ["l_returnflag"], "status": ["l_linestatus"], "both": ["l_returnflag", "l_linestatus"]}, Plan("limited")).where("column = 'l_extendedprice'")
+    return _segmented(p.withColumn("segment", F.array_join("segment", ",")), "partition", "segment")
+
+
+@_query(f"SELECT l_returnflag, {_SEG} WHERE l_quantity > 25 GROUP BY l_returnflag")
+def segment_filtered(spark, d):
+    """A filter before segmenting; it reaches the scan."""
+    p = profile_sets(_t(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice"), {"f": ["l_returnflag"]}, Plan("limited"), {"f": "l_quantity > 25"})
+    return _segmented(p.where("column = 'l_extendedprice'").withColumn("l_returnflag", F.col("segment")[0]), "l_returnflag")
+
+
+@_query("WITH t AS (SELECT CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus END AS k, l_returnflag AS f FROM lineitem) SELECT 'one' AS keys, k, CAST(NULL AS VARCHAR) AS f, count(*) AS n FROM t WHERE k IS NOT NULL GROUP BY k UNION ALL SELECT 'two', k, f, count(*) FROM t GROUP BY k, f")
+def segment_null_keys(spark, d):
+    """A single null key is dropped; with several keys it is a value."""
+    df = _t(spark, d, "lineitem").select(F.expr("CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus END").alias("k"), F.col("l_returnflag").alias("f"), "l_tax")
+    one = profile(df, Plan("limited"), ["k"], ["l_tax"]).select(F.lit("one").alias("keys"), "k", F.lit(None).cast("string").alias("f"), "n")
+    return one.union(profile(df, Plan("limited"), ["k", "f"], ["l_tax"]).select(F.lit("two").alias("keys"), "k", "f", "n"))
+
+
+@_query("SELECT 'batch-1' AS run, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders")
+def segment_explicit(spark, d):
+    """A key and value attached to a whole batch."""
+    p = profile(_t(spark, d, "orders"), Plan("limited"), {"run": F.lit("batch-1")}, ["o_totalprice"])
+    return p.select("run", "n", *_round("mean"))
+
+
+@_query(_union(f"SELECT '{c}' AS \"column\", count(*) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, min({c}) AS min, max({c}) AS max FROM lineitem" for c in _NUMERIC))
+def merge_equals_whole(spark, d):
+    """Profiles by line number merged give the profile of the whole."""
+    p = profile(_t(spark, d, "lineitem"), Plan("limited"), ["l_linenumber"], list(_NUMERIC))
+    return _segmented(merge(p.drop("l_linenumber")), "column")
+
+
+@_query("SELECT 'orders' AS alias, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders UNION ALL SELECT 'supplier', count(*), round(avg(s_acctbal), 4) FROM supplier")
+def multiple_frames(spark, d):
+    """Several named frames in one call."""
+    p = profile_many({"orders": _t(spark, d, "orders").select("o_totalprice"), "supplier": _t(spark, d, "supplier").select("s_acctbal")}, Plan("limited"))
+    return p.select("alias", "n", *_round("mean"))
+
+
+@_query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01' GROUP BY 1")
+def store_date_range(spark, d):
+    """Profiles by month of one year."""
+    df = _t(spark, d, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'")
+    p = profile(df, Plan("limited"), {"month": F.date_trunc("month", "o_orderdate").cast("date")}, ["o_totalprice"])
+    return p.select(F.col("month").cast("date").alias("month"), "n", *_round("mean"))
+
+
+_CONDITIONS = {"starts_the": P.Predicate().matches("The"), "has_digit": P.Predicate().search("[0-9]"), "all_words": P.Predicate().fullmatch("(?s)[A-Za-z .,\\n]+"), "not_the": P.Predicate().matches("The").not_(), "either": P.Predicate().search("[0-9]").or_(P.Predicate().search("[#%]"))}
+
+
+@_query(r"SELECT count(text) AS total, count(*) FILTER (WHERE regexp_matches(text, '^The')) AS starts_the, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS has_digit, count(*) FILTER (WHERE regexp_full_match(text, '[A-Za-z .,\n]+')) AS all_words, count(*) FILTER (WHERE NOT regexp_matches(text, '^The')) AS not_the, count(*) FILTER (WHERE regexp_matches(text, '[0-9]') OR regexp_matches(text, '[#%]')) AS either FROM documents")
+def condition_count(spark, d):
+    return P.condition_counts(_t(spark, d, "documents"), "text", _CONDITIONS)
+
+
+@_query("SELECT count(c_acctbal) AS total, count(*) FILTER (WHERE c_acctbal >= 0 AND c_acctbal < 5000) AS mid, count(*) FILTER (WHERE c_acctbal = 0 OR NOT c_acctbal > 100) AS low FROM customer")
+def predicate_text_form(spark, d):
+    """Predicates parsed from their prefix text."""
+    tests = {"mid": P.parse("and >= x 0 < x 5000"), "low": P.parse("or == x 0 not > x 100")}
+    return P.condition_counts(_t(spark, d, "customer"), "c_acctbal", {k: P.parse(p.serialize()) for k, p in tests.items()})
+
+
+@_query("SELECT 'short' AS condition, count(*) AS total, count(*) FILTER (WHERE NOT length(text) < 5000) AS failed FROM documents UNION ALL SELECT 'no_symbols', count(*), count(*) FILTER (WHERE regexp_matches(text, '[#$%]')) FROM documents")
+def validator_failures(spark, d):
+    tests = {"short": P.Predicate().is_(lambda x: F.length(x) < 5000), "no_symbols": P.Predicate().search("[#$%]").not_()}
+    return P.failures(_t(spark, d, "documents"), "text", tests, "doc_id").select("condition", "total", "failed")
+
+
+@_query()
+def validator_samples(spark, d):
+    """A sample id of what fails each condition."""
+    return P.failures(_t(spark, d, "documents"), "text", {"no_symbols": P.Predicate().search("[#$%]").not_()}, "doc_id")
+
+
+def _order_constraints():
+    c = "o_totalprice"
+    return [
+        C.greater_than_number(c, 1000), C.smaller_than_number(c, 1e9), C.is_non_negative(c), C.is_in_range(c, 0, 1e6), C.mean_between_range(c, 0, 1e6), C.stddev_between_range(c, 1, 2),
+        C.no_missing_values(c), C.count_below_number(c, 10), C.null_values_below_number(c, 1), C.null_percentage_below_number(c, 0.0), C.column_is_nullable_datatype(c, "fractional"),
+        C.column_has_non_zero_types("o_orderkey", ["integral"]), C.column_has_zero_count_types("o_orderkey", ["string", "object"]), C.distinct_number_in_range("o_orderstatus", 1, 5),
+        C.frequent_strings_in_reference_set("o_orderstatus", ["F", "O", "P"]), C.n_most_common_items_in_set("o_orderstatus", 1, ["X"]), C.quantile_between_range(c, 0.5, 0, 1e7), C.column_is_probably_unique("o_orderkey"),
+    ]
+
+
+_O = "o_totalprice"
+
+
+@_query("WITH s AS (SELECT count(*) AS n, count(*) - count(o_totalprice) AS nulls, min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd, count(DISTINCT o_orderstatus) AS st FROM orders), r AS (" + _union(f"SELECT '{col} {name}' AS \"constraint\", '{col}' AS \"column\", ({test}) AS ok FROM s" for col, name, test in (
+    (_O, "greater than number 1000", "lo > 1000"), (_O, "smaller than number 1000000000.0", "hi < 1e9"), (_O, "is non negative", "lo >= 0"), (_O, "is in range [0,1000000.0]", "lo >= 0 AND hi <= 1e6"), (_O, "mean between 0 and 1000000.0", "mean BETWEEN 0 AND 1e6"),
+    (_O, "standard deviation between 1 and 2", "sd BETWEEN 1 AND 2"), (_O, "has no missing values", "nulls = 0"), (_O, "count below 10", "n <= 10"), (_O, "null values below 1", "nulls < 1"), (_O, "null percentage below 0.0", "nulls / n <= 0"), (_O, "is nullable fractional", "n > nulls"),
+    ("o_orderkey", "has values of [''integral'']", "n > 0"), ("o_orderkey", "has no values of [''string'', ''object'']", "true"), ("o_orderstatus", "distinct values between 1 and 5", "st BETWEEN 1 AND 5"),
+    ("o_orderstatus", "values in set", "NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus NOT IN (''F'', ''O'', ''P''))".replace("''", "'")), ("o_orderstatus", "1-most common items in set", "false"), (_O, "0.5-th quantile between 0 and 10000000.0", "true"), ("o_orderkey", "is probably unique", "true"),
+)) + ") SELECT \"constraint\", \"column\", CAST(ok AS INT) AS passed, 1 - CAST(ok AS INT) AS failed FROM r")
+def constraints_report(spark, d):
+    p = profile(_t(spark, d, "orders"), columns=["o_totalprice", "o_orderkey", "o_orderstatus"])
+    return C.report(p, _order_constraints())
+
+
+@_query("SELECT avg(o_totalprice) / stddev_samp(o_totalprice) < 10 AND NOT min(o_totalprice) < 0 AS passed FROM orders")
+def prefix_constraint(spark, d):
+    """A constraint in prefix form with references and arithmetic."""
+    p = profile(_t(spark, d, "orders"), columns=["o_totalprice"])
+    return C.prefix_constraint(p, "and < / :o_totalprice:mean :o_totalprice:stddev 10 not < :o_totalprice:min 0")
+
+
+@_query()
+def suggest_constraints(spark, d):
+    return C.suggest(profile(_t(spark, d, "orders")))
+
+
+def _years(spark, d):
+    df = _t(spark, d, "orders")
+    return df.where(F.year("o_orderdate") % 2 == 0), df.where(F.year("o_orderdate") % 2 == 1)
+
+
+_TR = "t AS (SELECT {c} AS x FROM orders WHERE year(o_orderdate) % 2 = 0), r AS (SELECT {c} AS x FROM orders WHERE year(o_orderdate) % 2 = 1)"
+
+
+@_query("WITH " + _TR.format(c=_O) + ", a AS (SELECT x, 1 AS t, 0 AS r FROM t UNION ALL SELECT x, 0, 1 FROM r), g AS (SELECT x, sum(t) AS t, sum(r) AS r FROM a GROUP BY x), c AS (SELECT sum(t) OVER (ORDER BY x) / (SELECT count(*) FROM t) AS ft, sum(r) OVER (ORDER BY x) / (SELECT count(*) FROM r) AS fr FROM g) SELECT round(max(abs(ft - fr)), 8) AS d FROM c")
+def drift_ks_stat(spark, d):
+    return drift.ks_statistic(*_years(spark, d), "o_totalprice").select(*_round("d", digits=8))
+
+
+@_query("WITH " + _TR.format(c="o_orderpriority") + ", g AS (SELECT coalesce(a.x, b.x) AS x, coalesce(a.n, 0) AS t, coalesce(b.n, 0) AS r FROM (SELECT x, count(*) AS n FROM t GROUP BY x) a FULL JOIN (SELECT x, count(*) AS n FROM r GROUP BY x) b ON a.x = b.x), e AS (SELECT t, floor(r::DOUBLE / (SELECT count(*) FROM r) * (SELECT count(*) FROM t)) AS e FROM g) SELECT round(sum(CASE WHEN e = 0 THEN 'Infinity'::DOUBLE ELSE (t - e) * (t - e) / e END), 6) AS statistic, greatest(count(*) - 1, 1) AS dof FROM e")
+def drift_chi2_stat(spark, d):
+    return drift.chi_square(*_years(spark, d), "o_orderpriority").select(*_round("statistic", digits=6), "dof")
+
+
+@_query("WITH " + _TR.format(c=_O) + ", v AS (SELECT x FROM t UNION ALL SELECT x FROM r), " + _BINS.format(t="v") + ", g AS (SELECT least(floor((x - lo) / width), k - 1) AS bin, sum(1 - side) AS a, sum(side) AS b FROM (SELECT x, 0 AS side FROM t UNION ALL SELECT x, 1 FROM r), w GROUP BY 1) SELECT round(sqrt(sum(pow(sqrt(a / (SELECT count(*) FROM t)) - sqrt(b / (SELECT count(*) FROM r)), 2)) / 2), 6) AS distance FROM g")
+def drift_hellinger(spark, d):
+    return drift.hellinger(*_years(spark, d), "o_totalprice").select(*_round("distance", digits=6))
+
+
+@_query()
+def drift_p_values(spark, d):
+    """Statistics with p-values and categories."""
+    a, b = _years(spark, d)
+    n, m = a.count(), b.count()
+    ks = drift.ks_statistic(a, b, "o_totalprice").first()[0]
+    chi, dof = drift.chi_square(a, b, "o_orderpriority").first()
+    rows = [("o_totalprice", "ks", float(ks), drift.ks_p_value(spark, ks, n, m)), ("o_orderpriority", "chi-square", float(chi), drift.chi_square_p_value(spark, chi, dof))]
+    return spark.createDataFrame([(*r, drift.category(r[3])) for r in rows], "column string, algorithm string, statistic double, p_value double, category string")
+
+
+def _predicted(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") > 1000).cast("int").alias("prediction"))
+    return docs.join(_t(spark, d, "labels"), "doc_id")
+
+
+_PRED = "(SELECT lang, CAST(n_chars > 1000 AS INT) AS prediction, quality, toxic FROM documents JOIN labels USING (doc_id))"
+
+
+@_query(f"SELECT CAST(prediction AS VARCHAR) AS prediction, CAST(quality AS VARCHAR) AS target, count(*) AS n, round(avg(toxic), 6) AS mean_score FROM {_PRED} GROUP BY 1, 2")
+def confusion_matrix(spark, d):
+    return performance.confusion_matrix(_predicted(spark, d), "prediction", "quality", "toxic").select("prediction", "target", "n", *_round("mean_score", digits=6))
+
+
+@_query("SELECT count(*) AS n, round(avg(abs(x)), 2) AS mae, round(sqrt(avg(x * x)), 2) AS rmse FROM (SELECT l_extendedprice - l_quantity * p_retailprice AS x FROM lineitem JOIN part ON l_partkey = p_partkey)")
+def regression_metrics(spark, d):
+    j = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_extendedprice").alias("p"), (F.col("l_quantity") * F.col("p_retailprice")).alias("t"))
+    return performance.regression(j, "p", "t").select("n", *_round("mae", "rmse", digits=2))
+
+
+@_query("WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type = 'purchase' AS rel FROM events), s AS (SELECT user_id, count(*) FILTER (WHERE rel) AS total, count(*) FILTER (WHERE rel AND i <= 5) AS hits, min(i) FILTER (WHERE rel AND i <= 5) AS first, sum(CASE WHEN rel AND i <= 5 THEN 1 / log2(i + 1) ELSE 0 END) AS dcg FROM t GROUP BY user_id), i AS (SELECT *, list_sum(list_transform(range(1, least(total, 5) + 1), lambda x: 1 / log2(x + 1))) AS idcg FROM s) SELECT user_id, hits / 5 AS precision, hits / nullif(total, 0) AS recall, CASE WHEN first IS NULL THEN 0 ELSE 1.0::DOUBLE / first END AS reciprocal_rank, round(CASE WHEN coalesce(idcg, 0) = 0 THEN 1 ELSE dcg / idcg END, 6) AS ndcg, hits::DOUBLE AS sum_gain FROM i")
+def ranking_metrics(spark, d):
+    """Ranking measures of each user's events in order, purchases being relevant."""
+    ev = F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") == "purchase").cast("int").alias("rel"))))
+    lists = _t(spark, d, "events").groupBy("user_id").agg(F.transform(ev, lambda e: e["rel"]).alias("rel"))
+    return performance.ranking_from_relevance(lists, "rel", 5).select("user_id", "precision", "recall", "reciprocal_rank", *_round("ndcg", digits=6), "sum_gain")
+
+
+@_query(f"WITH p AS {_PRED}, a AS (SELECT lang, avg(CASE WHEN prediction = quality THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY lang), s AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT round(sum(acc * coalesce(n, 0)) / sum(coalesce(n, 0)), 6) AS accuracy FROM a LEFT JOIN s USING (lang)")
+def accuracy_estimation(spark, d):
+    return performance.estimate_accuracy(_predicted(spark, d), _t(spark, d, "documents"), "lang", "prediction", "quality").select(*_round("accuracy", digits=6))
+
+
+@_query("SELECT 'price_per_size' AS \"column\", count(*) AS n, round(avg(p_retailprice / p_size), 4) AS mean FROM part UNION ALL SELECT 'dims.double', count(*), round(avg(p_size * 2), 4) FROM part UNION ALL SELECT 'dims.half', count(*), round(avg(p_size / 2), 4) FROM part UNION ALL SELECT 'p_retailprice.log', count(*), round(avg(ln(p_retailprice)), 4) FROM part")
+def udf_columns(spark, d):
+    """Derived columns of one output, of several, and by kind."""
+    r = Registry()
+    r.dataset_udf(["p_retailprice", "p_size"], "price_per_size")(lambda a, b: a / b)
+    r.multioutput_udf(["p_size"], "dims")(lambda x: {"double": x * 2, "half": x / 2})
+    r.type_udf("fractional", "log")(lambda x: F.ln(x))
+    df = r.apply(_t(spark, d, "part"))
+    return profile(df, Plan("limited"), columns=["price_per_size", "dims.double", "dims.half", "p_retailprice.log"]).select("column", "n", *_round("mean"))
+
+
+@_query("SELECT round(avg(length(regexp_replace(lower(text), '[^0-9]', '', 'g'))), 4) AS digits, round(avg(length(regexp_replace(lower(text), '[^a-z]', '', 'g'))), 4) AS latin_lower, round(avg(length(regexp_replace(lower(text), '[^A-Z]', '', 'g'))), 4) AS latin_upper, round(avg(length(text)), 4) AS string_length FROM documents")
+def unicode_ranges(spark, d):
+    x = special.unicode_counts(_t(spark, d, "documents"), "text")
+    return x.agg(*[F.round(F.avg(f"`{c}`"), 4).alias(c.replace("-", "_")) for c in ("digits", "latin-lower", "latin-upper", "string_length")])
+
+
+@_query("SELECT vec_id, round(list_distance(embedding::DOUBLE[], list_transform(range(64), lambda x: 0.1::DOUBLE)), 4) AS a_distance, CASE WHEN list_distance(embedding::DOUBLE[], list_transform(range(64), lambda x: 0.1::DOUBLE)) <= list_distance(embedding::DOUBLE[], list_transform(range(64), lambda x: -0.1::DOUBLE)) THEN 'a' ELSE 'b' END AS closest FROM embeddings")
+def embedding_closest(spark, d):
+    out = special.embedding_distances(_t(spark, d, "embeddings"), "embedding", {"a": [0.1] * 64, "b": [-0.1] * 64})
+    return out.select("vec_id", *_round("a_distance"), "closest")
+
+
+@_query(r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM conversations) WHERE term <> '' GROUP BY term")
+def bag_of_words(spark, d):
+    return special.bag_of_words(_t(spark, d, "conversations"), "text")
+
+
+@_query("SELECT date_trunc('day', ts) AS bucket, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+def event_time_profile(spark, d):
+    """Profiles by day and event type."""
+    p = rolling_profile(_t(spark, d, "events"), "ts", "1 day", Plan("limited"), ["event_type"], columns=["value"])
+    return p.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", *_round("mean"))
+
+
+@_query("SELECT CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS bucket, count(*) AS n FROM events GROUP BY 1")
+def tumbling_profile(spark, d):
+    """Right-closed hourly buckets named by their end."""
+    p = rolling_profile(_t(spark, d, "events"), "ts", "1 hour", Plan("limited"), columns=["value"], label="end")
+    return p.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n")
+
+
+@_query("SELECT count(*) AS n, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 4) AS mean FROM events")
+def json_requests(spark, d):
+    """Log requests in JSON, one for each event, profiled."""
+    k = F.get_json_object("props", "$.k")
+    body = F.to_json(F.struct(F.lit("e").alias("datasetId"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.struct(F.array(F.lit("k")).alias("columns"), F.array(F.array(k)).alias("data")).alias("multiple")))
+    rows = rows_of_requests(_t(spark, d, "events"), body, {"k": "double"})
+    return profile(rows, Plan("limited"), columns=["k"]).select("n", *_round("mean"))
+
+
+@_query("SELECT max(n) AS observations, CAST(sum(nulls) AS BIGINT) AS missing_cells FROM (SELECT count(*) AS n, count(*) - count(c_name) AS nulls FROM customer)")
+def overall_statistics(spark, d):
+    return summary.overall(profile(_t(spark, d, "customer"), Plan("limited"))).select("observations", _long("missing_cells"))
+
+
+@_query("SELECT 'o_totalprice' AS \"column\", round(stddev_samp(o_totalprice), 3) AS stddev, round(stddev_samp(o_totalprice) / avg(o_totalprice), 6) AS cv, round(max(o_totalprice) - min(o_totalprice), 4) AS range, 0.0::DOUBLE AS missing_share FROM orders")
+def descriptive_statistics(spark, d):
+    out = summary.descriptive(profile(_t(spark, d, "orders"), Plan("limited"), columns=["o_totalprice"]))
+    return out.select("column", F.round("stddev", 3).alias("stddev"), F.round("cv", 6).alias("cv"), *_round("range"), "missing_share")
+
+
+@_query(_union(f"SELECT '{c}' AS \"column\", '{m}' AS metrics" for c, m in (("c_custkey", "counts,types,dist,ints,card,items"), ("c_name", "counts,types"), ("c_nationkey", "counts,types,dist,ints,card,items"), ("c_acctbal", "dist"), ("c_mktsegment", "counts,types,dist,card"))))
+def resolvers(spark, d):
+    """Which metrics rules give each column: a name beats a kind, and exclusions take away."""
+    rules = (Rule(("dist",), column="c_acctbal"), Rule(("counts", "types"), column="c_name"), Rule(("items",), column="c_mktsegment", exclude=True))
+    plan = Plan(rules=rules)
+    rows = [(c, ",".join(m)) for c, m in plan.resolve(_t(spark, d, "customer").schema).items()]
+    return spark.createDataFrame(rows, "column string, metrics string")
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
