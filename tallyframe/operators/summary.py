@@ -17,7 +17,7 @@ def quantile(q: float, kll: str = "kll", n: str = "d_n", inclusive: bool = False
 
     The sketch gives the first item whose rank reaches the one asked for, so a rank just above q gives that item.
     """
-    rank = float(q) if inclusive else min(1.0, q + 1e-12)
+    rank = float(q) if inclusive else min(1.0, q + 1e-7)
     return F.when(F.col(n) > 0, F.kll_sketch_get_quantile_double(kll, F.lit(rank)))
 
 
