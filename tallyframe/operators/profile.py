@@ -141,7 +141,11 @@ def merge(profiles: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     out = profiles.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
         *counts, F.min("int_min").alias("int_min"), F.max("int_max").alias("int_max"), total.alias("d_n"), F.aggregate(pairs, zero, add).alias("__m"),
-        F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("kll").alias("kll"), F.hll_union_agg("hll", True).alias("hll"), F.expr("approx_top_k_combine(items, 1024)").alias("items"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("kll").alias("kll"), F.hll_union_agg("hll", True).alias("hll"),
     )
+    # Spark cannot combine missing item states, so rows that have one are combined apart
+    items = profiles.where("items IS NOT NULL").groupBy(*[F.col(f"`{k}`").alias(f"__{k}") for k in keys]).agg(F.expr("approx_top_k_combine(items, 1024)").alias("items"))
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in keys]
+    out = out.join(items, same, "left")
     some = F.col("d_n") > 0
     return out.withColumns({"mean": F.when(some, F.col("__m.mean")), "m2": F.when(some, F.col("__m.m2"))}).select(*[F.col(f"`{k}`") for k in keys], *STATES)
