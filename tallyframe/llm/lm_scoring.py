@@ -1,6 +1,7 @@
 """LM scoring with sharded Elias-Fano n-gram tries.
 
-The model is a bigram model interpolated with a discounted unigram one. Its tries are dealt over shards by a
+The model is a bigram model interpolated with a discounted unigram one, whose freed mass is spread evenly over
+all distinct words of the table, learnt from or not, and one more for any other word. Its tries are dealt over shards by a
 hash of the context (hot contexts over sixteen shards each), so neither building nor asking needs the model
 in one place. Texts stay where they are read: a chunk of documents sends each shard its distinct n-grams
 with their training counts, the shard adds them up, builds its trie in memory-mapped levels and answers each
@@ -13,7 +14,7 @@ where it is asked for, because a hot context's count is spread over shards.
 
 Defined results: null or empty text is the end token alone; a null id's text is empty for the split; repeated
 rows keep their rows; other columns of the input are ignored; an empty table gives no rows; without training
-tokens every token is unknown.
+tokens every token is unknown. Scores are log10 probabilities: after each context the words' add up to at most one.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ class Trie:
         total = np.bincount(inverse, pair_counts, len(kinds))
         self.pairs = EliasFano(kinds, max(1, len(names)) << 40)
         self.pointers = _mapped(np.searchsorted(kinds, np.arange(len(names) + 1, dtype=np.uint64) << np.uint64(40)).astype(np.int64))
-        self.weights = _mapped(np.round(np.log10(np.maximum(total, 1)) * STEPS).astype(np.uint16) + np.uint16(1))
+        self.weights = _mapped(np.floor(np.log10(np.maximum(total, 1)) * STEPS).astype(np.uint16) + np.uint16(1))
 
     def count(self, words: np.ndarray) -> np.ndarray:
         at = self.words.find(words)
@@ -209,7 +210,7 @@ def _answer(group: pa.Table) -> pa.Table:
     successors = np.concatenate([r[4] for r in requests])[seen]
     trie = Trie(words[counts > 0], counts[counts > 0], contexts, successors, np.concatenate([r[5] for r in requests])[seen])
     known = counts[counts > 0]
-    stats = np.array([known.sum(), len(known), (known == 1).sum(), (known == 2).sum()], np.int64)
+    stats = np.array([known.sum(), len(known), (known == 1).sum(), (known == 2).sum(), len(words)], np.int64)
     del contexts, successors, seen, inverse
     blobs = [_squeeze(trie.count(r[0]).astype(np.uint32), trie.weight(r[2], r[3], r[4]), stats) for r in requests]
     return pa.table([group.column("chunk"), group.column("shard"), pa.array(blobs, pa.binary()), group.column("doc_ids")], names=_STATE[1:])
@@ -224,7 +225,7 @@ def _sum_up(shards: int, weight: float):
         pairs, inverse = np.unique(_bigrams(ids, sizes, int(end_id), n), return_inverse=True)
         before, after = pairs // n, pairs % n
         pair_shard, word_shard = _shard_of(kind, before, after, shards), kind % shards
-        count, quantised, stats = np.zeros(n), np.zeros(len(pairs), np.uint16), np.zeros(4)
+        count, quantised, stats = np.zeros(n), np.zeros(len(pairs), np.uint16), np.zeros(5)
         by_shard = np.argsort(pair_shard, kind="stable")
         bounds = np.searchsorted(pair_shard[by_shard], np.arange(shards + 1))
         for i in order[1:]:
@@ -233,9 +234,10 @@ def _sum_up(shards: int, weight: float):
             count[word_shard == s] = c
             quantised[by_shard[bounds[s] : bounds[s + 1]]] = q
             stats += st
-        total, kinds, ones, twos = (float(x) for x in stats)
+        total, kinds, ones, twos, vocabulary = (float(x) for x in stats)
         off = ones / (ones + 2 * twos) if ones and twos else 0.5
-        single = np.where(count > 0, (count - off) / max(total, 1), off * kinds / max(total, 1) if total else 1.0)
+        even = (off * kinds / total if total else 1.0) / (vocabulary + 1)
+        single = np.maximum(count - off, 0) / max(total, 1) + even
         context = count[before]
         seen = np.where(quantised > 0, 10 ** ((quantised.astype(float) - 1) / STEPS) / np.maximum(context, 1), 0.0)
         p = np.where(context > 0, weight * np.minimum(seen, 1) + (1 - weight) * single[after], single[after])
