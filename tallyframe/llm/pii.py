@@ -4,8 +4,9 @@ Base entities (mail addresses, network addresses, card and phone numbers) and lo
 seeds. The words before an identifier-like token are its lexical patterns: the last two, or one that ends in
 a label sign. A pattern's confidence is the share of all its places in the corpus that identifiers follow,
 weighted by the identifiers' own confidence; an identifier's is that of its best patterns taken together.
-Spark scores this graph in turns; patterns that stay above the threshold give spans to tokens that no base
-pattern knows.
+Spark scores this graph in turns; a pattern enters a turn once enough seeds and identifiers trusted in the turn
+before follow it, so that found identifiers show new patterns, one generation a turn. Patterns above the threshold
+in the last turn give spans to tokens that no base pattern knows.
 
 Regular expressions start at word or run boundaries and use possessive repeats, so long junk costs linear time;
 a text is found and cut by the same expression, which gives positions without a row for each character.
@@ -127,9 +128,16 @@ def _learn(given: DataFrame, tokens: DataFrame, rounds: int, min_seeds: int, thr
     instance = F.when(is_seed, F.concat_ws(":", F.lit("seed"), "doc_id", "text_hash")).otherwise(bare)
     edges = tokens.where(is_seed | like).select("doc_id", "text_hash", "n", is_seed.alias("seed"), F.xxhash64(instance).alias("instance"), F.explode(_patterns(F.col("before"))).alias("pattern"))
     graph = edges.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("times"))
-    able = graph.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    graph = checkpoint(graph.join(able.select("pattern"), "pattern", "left_semi"))
-    names = graph.select("pattern").distinct()
+    graph = checkpoint(graph)
+    # what the turns below can reach at most, were every identifier of a pattern trusted
+    seeds = graph.where("seed").select("instance")
+    reached = seeds
+    for _ in range(rounds):
+        able = graph.join(reached.distinct(), "instance", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
+        able = checkpoint(able.select("pattern"))
+        reached = seeds.union(graph.join(able, "pattern", "left_semi").select("instance"))
+    graph = checkpoint(graph.join(able, "pattern", "left_semi"))
+    names = able
     # how often each such pattern stands before anything at all
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
@@ -141,10 +149,11 @@ def _learn(given: DataFrame, tokens: DataFrame, rounds: int, min_seeds: int, thr
     score = graph.select("instance", "seed").distinct().withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(0.0))
     for _ in range(rounds):
         weighted = graph.join(score.select("instance", "trust"), "instance")
-        patterns = weighted.groupBy("pattern").agg(F.sum(F.col("times") * F.col("trust")).alias("good"), F.sum("times").alias("all")).join(placed, "pattern", "left")
+        patterns = weighted.groupBy("pattern").agg(F.sum(F.col("times") * F.col("trust")).alias("good"), F.sum("times").alias("all"), F.count_if(F.col("trust") >= threshold).alias("support"))
+        patterns = patterns.where(F.col("support") >= min_seeds).join(placed, "pattern", "left")
         patterns = checkpoint(patterns.select("pattern", (F.col("good") / (F.greatest("all", F.coalesce("places", F.lit(0))) + 1)).alias("confidence")))
         against = F.sum(F.ln(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        score = checkpoint(graph.join(patterns, "pattern").groupBy("instance", "seed").agg((1 - F.exp(against)).alias("found")).select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("trust")))
+        score = checkpoint(graph.join(patterns, "pattern", "left").groupBy("instance", "seed").agg((1 - F.exp(F.coalesce(against, F.lit(0.0)))).alias("found")).select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("trust")))
     return patterns.where(F.col("confidence") >= threshold), edges
 
 

@@ -113,6 +113,15 @@ def test_pii(docs, spark):
     assert out == "my member: 100000 and mail: [EMAIL] or mail: [ID] ok"
 
 
+def test_pii_found_identifiers_show_new_patterns(spark):
+    texts = [f"and mail: u{i}@ex.org ok" for i in range(150)]
+    texts += [f"{label} tag-{9000 + i} ok" for i in range(30) for label in ("and mail:", "my badge:")]  # badge: never before a seed
+    texts += [f"{label} bdg-{7000 + i} ok" for i in range(6) for label in ("my badge:", "at desk:")]  # desk: only before badges
+    texts += ["at desk: dsk-5551 ok", *[f"room no {400000 + i} ok" for i in range(9)]]
+    out = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[150:] == ["and mail: [ID] ok", "my badge: [ID] ok"] * 30 + ["my badge: [ID] ok", "at desk: [ID] ok"] * 6 + ["at desk: [ID] ok", *texts[-9:]]
+
+
 def test_packing(docs):
     rows = packing.pack(docs).collect()
     total = Counter()
