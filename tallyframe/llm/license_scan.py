@@ -2,7 +2,10 @@
 
 All rolling word k-gram hashes of the texts are joined to the positions of license templates; hits are
 counted by offset diagonal (text position minus template position), neighbouring diagonals are merged,
-and a span is verified by the share of the template's words that its grams cover exactly.
+and a span is verified by the share of the template's words that its grams cover exactly. Templates are the
+paragraphs of whole license texts (licenses/<label>.<version>.txt), so that a part of a license is found too,
+and the notices below. A paragraph that several licenses share word by word is labelled with all of them,
+joined by a bar; a span within another license's span of higher cover is left out, as a likeness of it.
 
 Defined results: null or empty text has no words (n_words 0, no labels, null positions); repeated rows each
 keep their row; a null id is kept; other columns of the input are ignored; an empty table gives no rows.
@@ -12,6 +15,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,7 @@ TEMPLATES = [
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("cc-by", "licensed under cc by nc 4.0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("public-domain", "this is free and unencumbered software released into the public domain"),
@@ -50,6 +56,23 @@ def _words(text: str) -> list[bytes]:
     return _WORD.findall(text.encode().lower())
 
 
+@cache
+def license_templates(min_words: int = 12) -> list[tuple[str, str]]:
+    """(label, text) of every paragraph and numbered clause of the license texts; those of fewer words go on into the next."""
+    labels: dict[bytes, set] = {}
+    for path in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        parts: list[list[bytes]] = [[]]
+        for words in map(_words, re.split(r"\n\s*\n|\n(?=\s*\(?[0-9a-z]{1,2}[.)]\s)", path.read_text("utf-8"))):
+            if len(parts[-1]) >= min_words:
+                parts.append([])
+            parts[-1] += words
+        if len(parts) > 1 and len(parts[-1]) < min_words:
+            parts[-2:] = [parts[-2] + parts[-1]]
+        for words in parts:
+            labels.setdefault(b" ".join(words), set()).add(path.name.split(".")[0])
+    return [("|".join(sorted(of)), text.decode()) for text, of in labels.items()]
+
+
 def templates_table(spark: SparkSession, templates, k: int) -> DataFrame:
     """(gram, template, label, t_pos, t_words): one row per k-gram; its size is that of the template list."""
     rows = []
@@ -118,7 +141,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     apart to be merged (words inserted or left out). min_cover: share of template words to be covered.
     """
     spark = docs.sparkSession
-    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    phrases, templates = PHRASES if phrases is None else phrases, [*TEMPLATES, *license_templates()] if templates is None else templates
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, text_hash long, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<bigint>"
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
@@ -144,6 +167,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         *[F.max(c).alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")],
         F.array_sort(F.collect_set("span")).alias("spans"),
     )
+    within = lambda s, o: (o["from_word"] <= s["from_word"] + slack) & (o["to_word"] >= s["to_word"] - slack)
+    likeness = lambda s: F.exists("spans", lambda o: (o["label"] != s["label"]) & (o["cover"] > s["cover"]) & within(s, o))
+    out = out.withColumn("spans", F.filter("spans", lambda s: ~likeness(s)))
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
     out = out.withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.transform("spans", lambda s: s["label"])))), ","))
     out = out.withColumn("score", F.greatest(F.lit(0.0), F.when(F.col("n_base") > 0, F.lit(0.5)), F.array_max(F.transform("spans", lambda s: s["cover"]))))

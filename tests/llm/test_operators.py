@@ -44,6 +44,24 @@ def test_license(docs):
     assert (r.n_words, r.n_base, r.first_word, r.base_labels) == (5, 1, 3, "mit") and r.score > 0.9
 
 
+def test_license_bodies(spark):
+    from importlib.resources import files
+
+    whole = {f.name.split(".")[0]: f.read_text("utf-8") for f in files("tallyframe.llm").joinpath("licenses").iterdir()}
+    parts = {
+        "mit": "some code\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "bsd": "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "gpl": "A compilation of a covered work with other separate and independent works, which are not by their nature extensions of the covered work, and which are not combined with it such as to form a larger program, in or on a volume of a storage or distribution medium, is called an \"aggregate\" if the compilation and its resulting copyright are not used to limit the access or legal rights of the compilation's users beyond what the individual works permit.",
+    }
+    rows = [(k, v) for k, v in [*whole.items(), *((f"{k} part", v) for k, v in parts.items()), ("none", "plain words of no license at all " * 5)]]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {"apache", "gpl", "lgpl", "agpl", "mit", "isc", "bsd", "cc0", "mpl"} <= set(whole)
+    for k in whole:
+        assert k in got[k].labels.split(",") and got[k].score == 1
+    assert {k: got[f"{k} part"].labels for k in parts} == {k: k for k in parts}
+    assert got["none"].labels == "" and got["none"].score == 0
+
+
 def test_quality_rules(docs):
     got = quality_rules.apply_rules(docs).collect()
     assert len(got) == docs.count()
