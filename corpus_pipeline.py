@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("decontamination", benchmark), ("pii", personal_data), ("packing", pack)]
 
-#: SQL can express none of the graph, model and packing stages; they are tested against brute force.
+#: SQL can express none of the graph, model and packing stages; the README says what tests compare.
 ORACLE_SQL = None
 
 
