@@ -3,7 +3,7 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 Base entities (mail addresses, network addresses, card and phone numbers) and long hexadecimal secrets are
 seeds. The words before an identifier-like token are its lexical patterns: the last two, or one that ends in
 a label sign. A pattern's confidence is the share of all its places in the corpus that identifiers follow,
-weighted by the identifiers' own confidence; an identifier's is that of its best patterns taken together.
+weighted by the identifiers' own confidence (below a floor it counts as none); an identifier's is that of its patterns taken together.
 Spark scores this graph in turns; a pattern enters a turn once enough seeds and identifiers trusted in the turn
 before follow it, so that found identifiers show new patterns, one generation a turn. Patterns above the threshold
 in the last turn give spans to tokens that no base pattern knows.
@@ -39,6 +39,11 @@ _MARK = {k: chr(0xE001 + i) for i, k in enumerate(KINDS)}
 _SEED = "".join(_MARK.values())
 #: Identifier-like tokens: words that hold a digit, an at sign or a seed.
 _TOKEN = rf"(?<!\S)[^\s0-9@{_SEED}]*+[0-9@{_SEED}]\S*+"
+#: The last two words of a piece, found from words' starts only.
+_LAST_WORDS = r"(?<!\S)(?:\S++\s++)?+\S++\s*+$"
+_LABEL = r"[:=#]$"
+#: Upper ends of the slices, of the last one's many, in which a pattern's places are counted.
+SLICES = (1, 8, 64)
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -96,13 +101,14 @@ def _with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _tokens(given: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, before, token, length): identifier-like tokens of masked texts and the piece before each."""
+    """(doc_id, text_hash, n, gap, patterns, token): identifier-like tokens of masked texts, the length of the piece before each and its patterns."""
     some = given.where(F.regexp_like("text", F.lit("[0-9@]"))).select("doc_id", "text_hash", F.col("text").alias("masked"))
     for kind in KINDS:  # a step each: the column is used several times
         some = some.withColumn("masked", _masked(kind, F.col("masked")))
     pieces, matches = _cut(F.col("masked"), _TOKEN)
-    parts = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(64)).alias("before"), m.alias("token")))
-    out = some.select("doc_id", "text_hash", F.posexplode(parts).alias("n", "t")).select("doc_id", "text_hash", "n", "t.*")
+    last = lambda p: F.lower(F.regexp_extract(p, _LAST_WORDS, 0))
+    parts = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), last(p).alias("before"), m.alias("token")))
+    out = some.select("doc_id", "text_hash", F.posexplode(parts).alias("n", "t")).select("doc_id", "text_hash", "n", "t.gap", _patterns(F.col("t.before")).alias("patterns"), "t.token")
     # equal rows hold equal tokens: one copy of each
     return out.dropDuplicates(["doc_id", "text_hash", "n"])
 
@@ -112,23 +118,43 @@ def _masked(kind: str, text: Column) -> Column:
 
 
 def _patterns(before: Column) -> Column:
-    """The lexical patterns that a left context ends in."""
-    words = F.filter(F.split(F.lower(before), r"\s+"), lambda w: w != "")
+    """The lexical patterns that a left context ends in, as 64-bit hashes of their words."""
+    words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
     n = F.size(words)
-    two = F.when(n >= 2, F.concat_ws(" ", F.get(words, n - 2), F.get(words, n - 1)))
-    one = F.when(n >= 1, F.when(F.get(words, n - 1).rlike(r"[:=#]$"), F.get(words, n - 1)))
+    two = F.when(n >= 2, F.xxhash64(F.get(words, n - 2), F.get(words, n - 1)))
+    one = F.when(n >= 1, F.when(F.get(words, n - 1).rlike(_LABEL), F.xxhash64(F.get(words, n - 1))))
     return F.filter(F.array(two, one), lambda p: p.isNotNull())
 
 
-def _learn(given: DataFrame, tokens: DataFrame, rounds: int, min_seeds: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _places(given: DataFrame, candidates: DataFrame, floor: float) -> DataFrame:
+    """(pattern, places) of the candidates (pattern, most) that can reach the confidence `floor`: how often each stands before anything.
+
+    Places are counted in a small slice of the documents, then in larger ones. Counts only grow, so a pattern that
+    already stands in more places than `most / floor` is certain to stay below, and is counted no further: what is
+    counted in the last slice is in proportion to the identifiers and not to the commonest words of the corpus.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SLICES[-1]))
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
+    labels = F.transform(F.filter(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda w: F.regexp_like(w, F.lit(_LABEL))), lambda w: F.xxhash64(w))
+    every = F.concat(F.when(F.size("w") >= 3, pairs).otherwise(F.array().cast("array<bigint>")), labels)
+    left = candidates.withColumn("places", F.lit(0).cast("long"))
+    for low, high in zip((0, *SLICES), SLICES):
+        stood = given.where((slot >= low) & (slot < high)).select(words.alias("w")).select(F.explode(every).alias("pattern"))
+        stood = stood.join(_sized(left.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("more"))
+        left = left.join(stood, "pattern", "left").select("pattern", "most", (F.col("places") + F.coalesce("more", F.lit(0))).alias("places"))
+        left = checkpoint(left.where(F.col("most") >= floor * (F.col("places") + 1)))
+    return left.select("pattern", "places")
+
+
+def _learn(given: DataFrame, tokens: DataFrame, rounds: int, min_seeds: int, threshold: float, floor: float) -> tuple[DataFrame, DataFrame]:
     """Good patterns with their confidence, and the edges (row, n, pattern, instance)."""
     is_seed = F.regexp_like("token", F.lit(f"[{_SEED}]"))
     bare = F.regexp_replace("token", r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
     like = (F.length(bare) >= 6) & ((F.length(F.regexp_replace(bare, "[^0-9]", "")) >= 4) | F.contains(bare, F.lit("@")))
     instance = F.when(is_seed, F.concat_ws(":", F.lit("seed"), "doc_id", "text_hash")).otherwise(bare)
-    edges = tokens.where(is_seed | like).select("doc_id", "text_hash", "n", is_seed.alias("seed"), F.xxhash64(instance).alias("instance"), F.explode(_patterns(F.col("before"))).alias("pattern"))
-    graph = edges.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("times"))
-    graph = checkpoint(graph)
+    edges = tokens.where(is_seed | like).select("doc_id", "text_hash", "n", is_seed.alias("seed"), F.xxhash64(instance).alias("instance"), F.explode("patterns").alias("pattern"))
+    graph = checkpoint(edges.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("times")))
     # what the turns below can reach at most, were every identifier of a pattern trusted
     seeds = graph.where("seed").select("instance")
     reached = seeds
@@ -136,36 +162,33 @@ def _learn(given: DataFrame, tokens: DataFrame, rounds: int, min_seeds: int, thr
         able = graph.join(reached.distinct(), "instance", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
         able = checkpoint(able.select("pattern"))
         reached = seeds.union(graph.join(able, "pattern", "left_semi").select("instance"))
-    graph = checkpoint(graph.join(able, "pattern", "left_semi"))
-    names = able
-    # how often each such pattern stands before anything at all
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
-    labels = F.filter(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda w: F.regexp_like(w, F.lit("[:=#]$")))
-    every = F.concat(F.when(F.size("w") >= 3, pairs).otherwise(F.array().cast("array<string>")), labels)
-    places = given.select(words.alias("w")).select(F.explode(every).alias("pattern"))
-    placed = checkpoint(places.join(_sized(names), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places")))
+    most = graph.join(able, "pattern", "left_semi").groupBy("pattern").agg(F.sum("times").alias("most"))
+    placed = _places(given, checkpoint(most), floor)
+    graph = checkpoint(graph.join(placed, "pattern"))
     # the first round trusts seeds alone; each later one also what the round before found
     score = graph.select("instance", "seed").distinct().withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(0.0))
     for _ in range(rounds):
         weighted = graph.join(score.select("instance", "trust"), "instance")
-        patterns = weighted.groupBy("pattern").agg(F.sum(F.col("times") * F.col("trust")).alias("good"), F.sum("times").alias("all"), F.count_if(F.col("trust") >= threshold).alias("support"))
-        patterns = patterns.where(F.col("support") >= min_seeds).join(placed, "pattern", "left")
-        patterns = checkpoint(patterns.select("pattern", (F.col("good") / (F.greatest("all", F.coalesce("places", F.lit(0))) + 1)).alias("confidence")))
+        patterns = weighted.groupBy("pattern").agg(F.sum(F.col("times") * F.col("trust")).alias("good"), F.sum("times").alias("all"), F.count_if(F.col("trust") >= threshold).alias("support"), F.max("places").alias("places"))
+        confidence = F.col("good") / (F.greatest("all", "places") + 1)
+        patterns = checkpoint(patterns.where(F.col("support") >= min_seeds).select("pattern", confidence.alias("confidence")).where(F.col("confidence") >= floor))
         against = F.sum(F.ln(1 - F.least(F.col("confidence"), F.lit(0.999))))
         score = checkpoint(graph.join(patterns, "pattern", "left").groupBy("instance", "seed").agg((1 - F.exp(F.coalesce(against, F.lit(0.0)))).alias("found")).select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("trust")))
     return patterns.where(F.col("confidence") >= threshold), edges
 
 
 def _sized(names: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Broadcast the pattern names while they are few; beyond, they are joined by shuffling."""
+    """Broadcast the patterns' hashes (8 bytes each) while they are at most `limit`; beyond, they are joined by shuffling."""
     return F.broadcast(names) if names.count() <= limit else names
 
 
-def discovered(given: DataFrame, rounds: int = 3, min_seeds: int = 3, threshold: float = 0.6) -> DataFrame:
-    """(doc_id, text_hash, more): spans of identifiers that only a learnt pattern shows."""
+def discovered(given: DataFrame, rounds: int = 3, min_seeds: int = 3, threshold: float = 0.6, floor: float = 0.1) -> DataFrame:
+    """(doc_id, text_hash, more): spans of identifiers that only a learnt pattern shows.
+
+    floor: a pattern of less confidence counts as knowing nothing.
+    """
     tokens = checkpoint(_tokens(given.select("doc_id", "text_hash", "text")))
-    good, edges = _learn(given, tokens, rounds, min_seeds, threshold)
+    good, edges = _learn(given, tokens, rounds, min_seeds, threshold, floor)
     hits = edges.where(~F.col("seed")).join(good, "pattern", "left_semi").select("doc_id", "text_hash", "n").distinct()
     rows = hits.select("doc_id", "text_hash").distinct()
     by = W.partitionBy("doc_id", "text_hash").orderBy("n")
@@ -195,12 +218,14 @@ def _written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
     """The input's columns, with every span replaced by its kind in brackets; of overlapping spans the first to start names it."""
-    given = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    more = discovered(_with_base(docs, id_col, text_col), **learning).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "more")
-    joined = given.join(more, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the input's columns travel in one struct, so that no name of theirs meets one of ours
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    given = given.select("row", F.col(f"row.`{id_col}`").alias("row_id"), F.xxhash64(text).alias("row_hash"))
+    more = discovered(_with_base(docs, id_col, text_col), **learning)
+    joined = given.join(more, F.expr("row_id <=> doc_id AND row_hash = text_hash"), "left")
     spans = F.array_sort(F.concat(*[_spans(k, text) for k in KINDS], F.coalesce("more", F.array().cast(SPAN))))
-    joined = joined.withColumn("__spans", spans)
+    joined = joined.select("row", spans.alias("spans"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in ORDER])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -208,11 +233,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **le
         piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["rank"]))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
 
-    cleaned = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.select(*[(F.when(F.size("__spans") > 0, cleaned).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    cleaned = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return joined.select(*[(F.when(F.size("spans") > 0, cleaned).otherwise(F.col(f"row.`{c}`")) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents"))
     base = F.array_sort(F.concat(*[F.col(f"at_{k}") for k in list(KINDS)[:4]]))
-    return found.select("doc_id", *[F.size(f"at_{k}").cast("long").alias(f"n_{k}") for k in list(KINDS)[:4]], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[F.size(f"at_{k}").cast("long").alias(f"n_{k}") for k in list(KINDS)[:4]], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
