@@ -6,6 +6,9 @@ form, or to 0 (separator). Word identity is a 64-bit polynomial hash mixed at th
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -23,10 +26,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; a temporary one only where none is set."""
+    """Use the shared folder named in spark.checkpoint.dir; a temporary one only where none is set and Spark runs on this machine alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder, seen by all machines, for tables between steps."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker have freed; Python and Arrow would keep it for themselves."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
