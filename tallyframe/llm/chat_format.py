@@ -1,19 +1,23 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-The nested field paths of a record (or of a table's schema) are hashed; the hash selects a declarative mapping
-that turns the layout into canonical turns. Turns are then written with marks around each, and the spans of
-the assistant texts form the loss mask. Inside roles and texts a backslash is written as \\e and a "<" as \\l,
-so no text can hold a mark, and reading back is exact.
+The nested field paths of a record (or of a table's schema) that a mapping names are hashed; where that fingerprint is
+the mapping's own, the mapping turns the layout into canonical turns. Mappings of more paths come first. Turns are then
+written with marks around each, and the spans of the assistant texts form the loss mask. Inside roles and texts a
+backslash is written as \\e and a "<" as \\l, so no text can hold a mark, and reading back is exact.
+
+A conversation is one string in the result, so its turns meet in one task, whatever their number.
 
 Defined results: null texts and roles are empty; rows of one conversation are ordered by turn, then role and
 text, nulls first; repeated rows are turns of their own; a null conversation id is a conversation; fields that
-no mapping names are ignored; a record that no mapping fits has no turns; an empty table gives no rows.
+no mapping names, or that belong to a mapping not chosen, are ignored; a record that no mapping fits has no turns, a
+table that none fits raises ValueError; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +55,6 @@ MAPPINGS = (
     Mapping("prompt_response", ("prompt", "response"), flat=(("user", "prompt"), ("assistant", "response"))),
     Mapping("system_prompt_response", ("prompt", "response", "system"), flat=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
 )
-_KNOWN = sorted({p for m in MAPPINGS for p in m.paths})
 
 
 def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
@@ -63,16 +66,29 @@ def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return []
 
 
+def fingerprint(paths: list[str] | tuple[str, ...]) -> int:
+    """Hash of a set of field paths, as `_hash` gives it."""
+    value = xxhash.xxh64_intdigest(",".join(sorted(set(paths))).encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+#: The mappings by their fingerprints, those of more paths first.
+_BY_FINGERPRINT = {fingerprint(m.paths): m for m in sorted(MAPPINGS, key=lambda m: -len(m.paths))}
+
+
 def _hash(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), ","))
 
 
-def json_fingerprint(record: Column) -> Column:
-    """Hash of the known field paths of a JSON record."""
-    known = F.array(*map(F.lit, _KNOWN))
+def json_paths(record: Column) -> Column:
+    """Field paths of a JSON record, with those inside the first elements of its lists that mappings know."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    inner = [_inner_paths(record, m.items[0]) for m in MAPPINGS if m.items]
-    return _hash(F.array_intersect(F.concat(top, *inner), known))
+    return F.concat(top, *[_inner_paths(record, name) for name in sorted({m.items[0] for m in MAPPINGS if m.items})])
+
+
+def json_fingerprint(record: Column) -> Column:
+    """Hash of all field paths of a JSON record."""
+    return _hash(json_paths(record))
 
 
 def _inner_paths(record: Column, name: str) -> Column:
@@ -90,32 +106,50 @@ def _role(role: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), out), out)
 
 
+def _flat_turns(fields: list[tuple[str, Column]]) -> Column:
+    """Turns of a flat layout; empty ones are left out but for the assistant's."""
+    turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("text")) for role, text in fields])
+    return F.filter(turns, lambda x: (x["text"] != "") | (x["role"] == "assistant"))
+
+
 def turns_of_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(conv_id, fingerprint, layout, turn, role, text) of JSON records of any mixture of layouts."""
-    given = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record")).withColumn("fingerprint", json_fingerprint(F.col("record")))
+    given = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record"))
+    given = given.withColumn("paths", json_paths(F.col("record"))).withColumn("fingerprint", _hash(F.col("paths")))
     turns, layout = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
-    for m in MAPPINGS:
+    for own, m in reversed(_BY_FINGERPRINT.items()):  # the first mappings are asked first
         if m.rows:
             continue
-        here = F.col("fingerprint") == _hash(F.array(*map(F.lit, m.paths)))
-        if m.items:
-            value = _list_turns("record", *m.items)
-        else:
-            value = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.get_json_object("record", f"$.{f}"), F.lit("")).alias("text")) for r, f in m.flat]), lambda x: (x["text"] != "") | (x["role"] == "assistant"))
+        here = _hash(F.array_intersect("paths", F.array(*map(F.lit, m.paths)))) == own
+        value = _list_turns("record", *m.items) if m.items else _flat_turns([(r, F.get_json_object("record", f"$.{f}")) for r, f in m.flat])
         turns, layout = F.when(here, value).otherwise(turns), F.when(here, F.lit(m.name)).otherwise(layout)
     return given.select("conv_id", "fingerprint", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "fingerprint", "layout", F.col("turn").cast("long"), "t.role", "t.text")
 
 
-def turns_of_table(df: DataFrame, id_col: str) -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose schema's fingerprint selects a mapping with a row for each turn."""
-    have = set(schema_paths(df.schema)) & set(_KNOWN)
-    for m in MAPPINGS:
-        if m.rows and set(m.paths) == have:
-            turn, role, text = m.rows
-            return df.select(F.col(id_col).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def mapping_of(schema: T.StructType) -> Mapping:
+    """The mapping whose fingerprint the paths of a table's schema have, among the paths that the mapping names."""
+    have = set(schema_paths(schema))
+    for own, m in _BY_FINGERPRINT.items():
+        if fingerprint(have & set(m.paths)) == own:
+            return m
     raise ValueError(f"no mapping for a table with the fields {sorted(have)}")
 
 
+def turns_of_table(df: DataFrame, id_col: str) -> DataFrame:
+    """(conv_id, turn, role, text) of a table whose schema's fingerprint selects a mapping."""
+    m, text_of = mapping_of(df.schema), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    conv = F.col(f"`{id_col}`").alias("conv_id")
+    if m.rows:
+        turn, role, text = m.rows
+        return df.select(conv, F.col(turn).alias("turn"), text_of(F.col(role)).alias("role"), text_of(F.col(text)).alias("text"))
+    if m.items:
+        name, role, text = m.items
+        turns = F.transform(F.col(name), lambda x: F.struct(_role(x[role].cast("string")).alias("role"), text_of(x[text]).alias("text")))
+    else:
+        turns = _flat_turns([(r, F.col(f).cast("string")) for r, f in m.flat])
+    return df.select(conv, F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\e")), F.lit("<"), F.lit("\\l"))
 
@@ -159,7 +193,8 @@ def read_back(formatted: Column) -> Column:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
-    out = format_turns(turns_of_table(read(spark, sf_dir, "conversations").unionByName(planted), "conv_id"))
+    turns = turns_of_table(read(spark, sf_dir, "conversations"), "conv_id")
+    out = format_turns(turns.unionByName(turns_of_table(planted, "conv_id")))
     out = out.withColumn("turns", read_back(F.col("formatted")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
     out = out.withColumn("loss", loss)

@@ -1,20 +1,21 @@
 """SimHash near-dedup by exact tiled comparison.
 
-Every text gets a 64-bit fingerprint of its word shingles. Distinct fingerprints are dealt to blocks, each pair
-of blocks is one task, and inside a task tiles sorted by population count are compared with exclusive-or
+Every text gets a 64-bit fingerprint of its word shingles. Distinct fingerprints are dealt to blocks of like
+population counts, each pair of blocks near enough is one task, and inside a task tiles sorted by population count are compared with exclusive-or
 and bit counts; pairs of tiles whose counts (of the four 16-bit quarters) differ by more than the radius are
 skipped. A task returns a spanning forest of its links, never the links themselves, and components are then
 found by alternating large-star and small-star steps.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; equal fingerprints
-are one node; repeated rows keep their rows; a null id takes part but is never the smallest; other columns
-are ignored by `components` and kept by `dedup`; an empty table gives no rows.
+are one node; repeated rows keep their rows; a null id takes part and is the smallest only where there is no other;
+other columns are ignored by `components` and kept by `dedup`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .common import checkpoint, read
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE = 256
+#: Tasks over which the members of one component are spread.
+_SALTS = 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
@@ -55,7 +58,7 @@ def _fingerprints(k: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             prints = np.array([fingerprint(t.as_py() or b"", k) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["doc_id", "text_hash", "print"])
 
     return run
 
@@ -145,15 +148,66 @@ def _spanning(radius: int):
     return run
 
 
+def _quarters(cells: np.ndarray) -> np.ndarray:
+    """The four quarters' population counts of packed cells."""
+    return np.stack([cells >> 15 & 31, cells >> 10 & 31, cells >> 5 & 31, cells & 31], axis=1)
+
+
+def _boxes(cells: np.ndarray, counts: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of cells in boxes of at most `most` prints, or of one cell: split at the median of the widest quarter."""
+    quarters, done, todo = _quarters(cells), [], [np.arange(len(cells))]
+    while todo:
+        own = todo.pop()
+        if len(own) == 1 or counts[own].sum() <= most:
+            done.append(own)
+            continue
+        spread = quarters[own].max(axis=0) - quarters[own].min(axis=0)
+        values = quarters[own, int(np.argmax(spread))]
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(counts[own][order])
+        cut = values[order][int(np.searchsorted(upto, upto[-1] / 2))]
+        left = values < cut if (values < cut).any() else values <= cut
+        todo += [own[left], own[~left]]
+    return done
+
+
+def _targets(cells: np.ndarray, counts: np.ndarray, most: int, radius: int) -> pa.Table:
+    """(cell, base, parts, near): each cell's own blocks, and all blocks that can hold a print within the radius.
+
+    A box of one cell with more than `most` prints has several blocks, among which its prints are dealt.
+    """
+    quarters, boxes = _quarters(cells), _boxes(cells, counts, most)
+    parts = np.array([max(1, math.ceil(counts[own].sum() / most)) for own in boxes])
+    base = np.cumsum(parts) - parts
+    low, high = (np.array([f(quarters[own], axis=0) for own in boxes]) for f in (np.min, np.max))
+    own_box = np.empty(len(cells), np.int64)
+    for i, own in enumerate(boxes):
+        own_box[own] = i
+    near = []
+    for q in quarters:
+        apart = np.maximum(0, np.maximum(low - q, q - high)).sum(axis=1)
+        near.append(np.concatenate([np.arange(base[i], base[i] + parts[i]) for i in np.flatnonzero(apart <= radius)]).tolist())
+    return pa.table({"cell": pa.array(cells, pa.int32()), "base": pa.array(base[own_box], pa.int32()), "parts": pa.array(parts[own_box], pa.int32()), "near": pa.array(near, pa.list_(pa.int32()))})
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = 1 << 18) -> DataFrame:
     """(a, b): a forest that joins all distinct values of `print` that are linked, directly or by others.
 
-    block: most fingerprints, about, in one block; each block meets every other once.
+    block: most fingerprints, about, in one block. Blocks are boxes in the space of the four quarters' population
+    counts (at most 17^4 cells, which the driver sees), and a print is sent to those alone that can hold a partner.
     """
-    n = prints.count()
+    quarter = lambda i: F.bit_count(F.shiftrightunsigned("print", 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)))
+    cell = reduce(lambda a, i: a * 32 + quarter(i), range(1, 4), quarter(0)).cast("int")
+    placed = prints.withColumn("cell", cell)
+    found = placed.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()
+    n = sum(r.n for r in found)
     blocks = max(math.ceil(n / block), min(16, math.ceil(n / 4096)), 1)
-    own = F.pmod(F.xxhash64("print"), F.lit(blocks)).cast("int")
-    dealt = prints.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    table = _targets(np.array([r.cell for r in found], np.int64), np.array([r.n for r in found], np.int64), math.ceil(n / blocks), radius) if found else None
+    if table is None:
+        return prints.select(F.col("print").alias("a"), F.col("print").alias("b"))
+    targets = F.broadcast(prints.sparkSession.createDataFrame(table))  # a row for each cell
+    dealt = placed.join(targets, "cell").withColumn("own", (F.col("base") + F.pmod(F.xxhash64("print"), F.col("parts"))).cast("int"))
+    dealt = dealt.select("print", "own", F.explode("near").alias("other"))
     dealt = dealt.select("print", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     return dealt.groupBy("i", "j").applyInArrow(_spanning(radius), "a long, b long")
 
@@ -178,28 +232,39 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, block: int = 1 << 18) -> DataFrame:
-    """(doc_id, print, component_id) for every input row."""
+def _members(docs: DataFrame, id_col: str, text_col: str, k: int, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, print) of every input row; (print, root, least) of every print: its component and that one's first row."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = checkpoint(given.mapInArrow(_fingerprints(k), f"doc_id {id_type}, print long"))
-    nodes = checkpoint(prints.groupBy("print").agg(F.min("doc_id").alias("rep")))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    rows = checkpoint(given.mapInArrow(_fingerprints(k), f"doc_id {id_type}, text_hash long, print long"))
+    # null ids come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    nodes = checkpoint(rows.groupBy("print").agg(first))
     joined = connected(links(nodes.select("print"), radius, block))
-    members = nodes.join(joined, nodes["print"] == joined["node"], "left").select("print", "rep", F.coalesce("root", "print").alias("root"))
-    least = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = members.join(least, "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    members = nodes.join(joined, nodes["print"] == joined["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    least = members.groupBy("root").agg(F.min("first").alias("least"))
+    # a component may hold a large share of all prints: its members are spread over several tasks
+    least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(_SALTS)))))
+    named = members.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(_SALTS)).cast("int")).join(least, ["root", "salt"])
+    return rows, named.select("print", "root", "least")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, block: int = 1 << 18) -> DataFrame:
+    """(doc_id, print, component_id) for every input row."""
+    rows, named = _members(docs, id_col, text_col, k, radius, block)
+    return rows.join(named, "print").select("doc_id", "print", F.col("least.doc_id").alias("component_id"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The input without all but one row of each component: the row with the smallest id (and of equal ids, one).
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, block: int = 1 << 18) -> DataFrame:
+    """The input without all but one row of each component: the one with the smallest id, and of equal ids with the smallest text hash.
 
-    A row without id cannot be named and stays.
+    Rows without id come last; of rows equal in id and text one stays. Rows of one id and different components all stay.
     """
-    found = components(docs, id_col, text_col, k, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    _, named = _members(docs, id_col, text_col, k, radius, block)
+    kept = named.select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_hash").alias("kept_hash")).distinct()
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash"))
+    found = given.join(kept, F.expr("row_id <=> kept_id AND row_hash = kept_hash"), "left_semi").dropDuplicates(["row_id", "row_hash"])
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,59 @@ def test_classifier(docs, spark):
     labels = spark.createDataFrame([(0, 0), (1, 0), (7, 1), (8, 1), (10, 1), (3, None), (None, 1)], "doc_id long, quality int")
     got = quality_classifier.classify(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+
+
+def test_simhash_blocks_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    values = [int(v) for v in rng.integers(0, 1 << 62, 3000)]
+    values += [v ^ sum(1 << int(b) for b in rng.choice(62, 4, replace=False)) for v in values[:700]]
+    values = sorted(set(values))
+    a = np.array(values, dtype=np.uint64)
+    want = {v: v for v in values}
+    for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 4, 1))):
+        x, y = want[values[i]], want[values[j]]
+        if x != y:
+            want = {k: min(x, y) if r in (x, y) else r for k, r in want.items()}
+    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "print long"), 4, 128)
+    roots = {r.node: r.root for r in simhash.connected(edges).collect()}
+    assert {v: roots.get(v, v) for v in values} == want
+
+
+def test_dedup_keeps_one_row_of_each_component(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, "quite another text of seven words", "b"), (2, long, "c"), (2, long, "d"), (3, None, "e"), (4, "", "f"), (None, long, "g"), (None, "only without an id here", "h")]
+    got = sorted(map(tuple, simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string, print string")).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[4], rows[7]], key=str)
+    assert simhash.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chat_layouts(spark):
+    from pyspark.sql import functions as F
+
+    records = [
+        (1, '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo", "x": 1}], "id": 5}'),
+        (2, '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": null}]}'),
+        (3, '{"instruction": "do", "input": "", "output": "done", "prompt": "ignored"}'),
+        (4, '{"instruction": "do", "output": "done"}'),
+        (5, '{"system": "s", "prompt": "p", "response": "r"}'),
+        (6, '{"other": 1}'), (7, None), (8, "not json"), (9, '{"messages": []}'),
+    ]
+    got = {}
+    for r in chat_format.turns_of_json(spark.createDataFrame(records, "id long, record string"), "id", "record").orderBy("conv_id", "turn").collect():
+        got.setdefault((r.conv_id, r.layout), []).append((r.role, r.text))
+    assert got == {
+        (1, "messages"): [("user", "hi"), ("assistant", "yo")], (2, "conversations"): [("user", "a"), ("assistant", "")], (3, "instruction_input"): [("user", "do"), ("assistant", "done")],
+        (4, "instruction"): [("user", "do"), ("assistant", "done")], (5, "system_prompt_response"): [("system", "s"), ("user", "p"), ("assistant", "r")],
+        (6, None): [(None, None)], (7, None): [(None, None)], (8, None): [(None, None)], (9, None): [(None, None)],
+    }
+    # the hash in the plan is the one that selects a table's mapping
+    paths = ["messages[].role", "b", "a"]
+    assert spark.range(1).select(chat_format._hash(F.array(*map(F.lit, paths)))).first()[0] == chat_format.fingerprint(paths)
+    rows = spark.createDataFrame([(1, 0, "user", "a", "x", "y")], "conv_id long, turn int, role string, text string, prompt string, instruction string")
+    assert chat_format.mapping_of(rows.schema).name == "turn_rows" and chat_format.turns_of_table(rows, "conv_id").columns == ["conv_id", "turn", "role", "text"]
+    nested = spark.createDataFrame([(1, [("user", "q", 1), ("assistant", "a", 2)], "extra"), (2, None, None), (3, [], "")], "id long, messages array<struct<role:string,content:string,n:int>>, turn string")
+    assert [tuple(r) for r in chat_format.turns_of_table(nested, "id").orderBy("turn").collect()] == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    flat = spark.createDataFrame([(1, "p", "r"), (2, None, None)], "id long, prompt string, response string")
+    assert sorted(tuple(r) for r in chat_format.turns_of_table(flat, "id").collect()) == [(1, 0, "user", "p"), (1, 1, "assistant", "r"), (2, 0, "assistant", "")]
+    with pytest.raises(ValueError):
+        chat_format.turns_of_table(spark.range(1), "id")
