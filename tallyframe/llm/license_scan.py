@@ -134,11 +134,12 @@ def _tokens(k: int, phrases: dict[str, str]):
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, slack: int = 3, min_cover: float = 0.6, phrases=None, templates=None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, slack: int = 3, min_cover: float = 0.6, min_words: int = 8, phrases=None, templates=None) -> DataFrame:
     """One row per input row with phrase counts, labels, the best template's cover and the verified spans.
 
     Spans are (label, first word, last word, cover). k: words in a gram. slack: how far diagonals may lie
-    apart to be merged (words inserted or left out). min_cover: share of template words to be covered.
+    apart to be merged (words inserted or left out). min_cover: share of template words to be covered. min_words: and how
+    many at least, or all of a shorter template.
     """
     spark = docs.sparkSession
     phrases, templates = PHRASES if phrases is None else phrases, [*TEMPLATES, *license_templates()] if templates is None else templates
@@ -158,7 +159,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         F.array_distinct(F.flatten(F.collect_list("t_at"))).alias("t_at"), F.min("from_word").alias("from_word"), (F.max("to_word") + k - 1).alias("to_word")
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("t_at", lambda p: F.sequence(p, p + k - 1)))))
-    spans = merged.withColumn("cover", covered / F.col("t_words")).where(F.col("cover") >= min_cover)
+    # so few words as a short notice has must all be there
+    least = F.greatest(F.ceil(min_cover * F.col("t_words")), F.least("t_words", F.lit(min_words)))
+    spans = merged.withColumn("covered", covered).where(F.col("covered") >= least).withColumn("cover", F.col("covered") / F.col("t_words"))
     none = F.lit(None)
     found = spans.select("doc_id", "text_hash", F.struct("label", "from_word", "to_word", "cover").alias("span"), F.lit(0).alias("copies"), *[none.cast(t).alias(c) for c, t in (("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"))])
     rows = tokens.select("doc_id", "text_hash", F.lit(None).cast("struct<label:string,from_word:int,to_word:int,cover:double>").alias("span"), F.lit(1).alias("copies"), "n_words", "n_base", "first_word", "last_word", "base_labels")

@@ -262,3 +262,24 @@ def test_chat_layouts(spark):
     assert sorted(tuple(r) for r in chat_format.turns_of_table(flat, "id").collect()) == [(1, 0, "user", "p"), (1, 1, "assistant", "r"), (2, 0, "assistant", "")]
     with pytest.raises(ValueError):
         chat_format.turns_of_table(spark.range(1), "id")
+
+
+def test_license_votes_merge_over_gaps(spark):
+    words = [f"lic{i}" for i in range(40)]
+    templates = [("long", " ".join(words)), ("short", "five words make this notice")]
+    changed = [*words[:12], "new", "words", *words[12:25], *words[28:]]  # two words in, three out
+    rows = [
+        (1, "before " + " ".join(changed) + " after"),
+        (2, " ".join(words[:20])),  # half of it
+        (3, " ".join(w for i, w in enumerate(words) if i % 4)),  # no four words in a row
+        (4, "five words make this"), (5, "Five words, make THIS notice."), (6, " ".join(words) + " gap " * 50 + " ".join(changed)),
+        (7, " ".join(words[20:] + words[:20])), (8, None),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    # no diagonal alone covers enough of the first text
+    assert max(12, 13, 12) < 0.6 * 40
+    span = got[1].spans[0]
+    assert got[1].labels == "long" and (span.from_word, span.to_word) == (1, 39) and span.cover == (12 + 13 + 12) / 40
+    assert [got[i].labels for i in (2, 3, 4, 5, 7, 8)] == ["", "", "", "short", "", ""]
+    assert [(s.from_word, s.to_word) for s in got[6].spans] == [(0, 39), (90, 128)]
+    assert got[5].base_labels == "" and got[5].n_base == 0 and got[5].score == 1
