@@ -34,8 +34,8 @@ from .common import byte_column, chunks, read, release_memory, shared_folder, sp
 WINDOW, END_ID = 2048, 1
 #: Token ids in one BM25 shard, and in one partition of shards (of a small table: as many as keep all cores busy).
 SHARD_IDS, PART_IDS = 1 << 19, 1 << 26
-#: Text whose distinct words are looked up at once, and words whose ids a worker keeps (twice as many for a while).
-ENCODE_BYTES, KEPT_WORDS = 4 << 20, 200_000
+#: Text whose distinct words are looked up at once, and parts of words whose ids a worker keeps (about 25 bytes each).
+ENCODE_BYTES, KEPT_WORDS = 4 << 20, 3_000_000
 #: Documents (and first characters of each) that the order of documents is fitted on, and levels of its tree.
 FIT_DOCS, FIT_CHARS, TREE_DEPTH = 2048, 8192, 8
 #: Words of fewer bytes make a document's key only where it has no longer ones.
@@ -51,7 +51,7 @@ class _Encoder:
 
     The vocabulary's pre-tokeniser never joins across white space, nor letters with marks that end a word; so a
     text's ids are those of its words, and a plain word's those of its lower-case letters and of its marks. Ids of
-    letters, marks and other words are kept in two generations: words not asked for while one filled are forgotten.
+    letters, marks and other words are kept under 64-bit hashes until there are too many.
     Texts that might hold a special token's string are encoded whole.
     """
 
@@ -65,71 +65,73 @@ class _Encoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _known(self, units: list[str], letters: bool) -> list[bytes]:
-        """The ids of each unit, as bytes; those not kept are encoded."""
-        young, old = self.young, self.old
-        out = list(map(young.get, units))
-        new = []
-        for i, ids in enumerate(out):
-            if ids is None:
-                unit = units[i]
-                if (ids := old.get(unit)) is None:
-                    new.append(i)
-                else:
-                    young[unit] = out[i] = ids
-        if new:
-            words = [units[i] for i in new]
-            for i, unit, ids in zip(new, words, self._letters(words) if letters else self._singly(words)):
-                young[unit] = out[i] = ids
-        if len(young) > KEPT_WORDS:
-            self.old, self.young = young, {}
-        return out
-
-    def _singly(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.place, self.length = np.zeros(1, np.uint64), np.zeros(1, np.int32), np.zeros(1, np.int32)  # 0: no part
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _known(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each part's ids lie in `flat`, and how many they are; parts not kept are encoded."""
+        hashes = np.where(end > begin, span_hash(raw, begin, end) | np.uint64(1), np.uint64(0))
+        kinds, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(kinds) > KEPT_WORDS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+        new = np.flatnonzero(self.keys[at] != kinds)
+        if len(new):
+            plain = letters[one[new]]
+            size = np.zeros(len(new), np.int32)
+            place = np.zeros(len(new), np.int32)
+            for own, encode in ((np.flatnonzero(plain), self._letters), (np.flatnonzero(~plain), self._singly)):
+                if len(own):
+                    ids, size[own] = encode(_strings(raw, begin[one[new[own]]], end[one[new[own]]]).to_pylist())
+                    while self.used + len(ids) > len(self.flat):
+                        self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.dtype)])
+                    self.flat[self.used : self.used + len(ids)] = ids
+                    place[own] = self.used + np.cumsum(size[own]) - size[own]
+                    self.used += len(ids)
+            spot = np.searchsorted(self.keys, kinds[new])
+            self.keys, self.place, self.length = (np.insert(x, spot, y) for x, y in ((self.keys, kinds[new]), (self.place, place), (self.length, size)))
+            at = np.searchsorted(self.keys, kinds)
+        at = at[back]
+        return self.place[at], self.length[at]
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int32)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters alone, many to a string: a word's ids end with the first that ends a word."""
         joined = [" ".join(words[i : i + 4096]) for i in range(0, len(words), 4096)]
         ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             raise ValueError("the vocabulary's word ends do not mark the ends of words")
-        raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
 
-    def _words(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the parts of distinct words; and of each word's two parts the first id's place and how many."""
+    def _words(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `flat` the ids of both parts of distinct words lie, and how many they are."""
         # plain words: Latin letters, then marks
         lead = np.flatnonzero(raw[:-1] == 0xC3)
         wide = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # but for two signs, all that 0xC3 leads are letters
         kind = _KIND[raw]
         kind[wide] = kind[wide + 1] = 1
-        low = _LOWER[raw]
-        capital = wide[raw[wide + 1] < 0x9F] + 1
-        low[capital] += 0x20
         n_letters, n_marks = _counts(kind == 1, at), _counts(kind == 2, at)
         turned = np.zeros(len(raw), bool)  # letters after marks, inside words
         turned[1:] = (kind[1:] == 1) & (kind[:-1] == 2)
         first = at[:-1][at[:-1] < len(raw)]
         turned[first] = kind[first] == 2
         plain = (n_letters > 0) & (n_letters + n_marks == np.diff(at)) & (_counts(turned, at) == 0)
-        begin, end = at[:-1][plain], at[1:][plain]
-        cores = _strings(low, begin, begin + n_letters[plain]).dictionary_encode()
-        tails = _strings(raw, begin + n_letters[plain], end).dictionary_encode()
-        others = _strings(raw, at[:-1][~plain], at[1:][~plain])
-        parts = [*self._known(cores.dictionary.to_pylist(), True), *self._known(tails.dictionary.to_pylist(), False), *self._known(others.to_pylist(), False), b""]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
-        flat, place = np.frombuffer(b"".join(parts), self.dtype), np.cumsum(size) - size
-        part = np.full((len(plain), 2), len(parts) - 1)
-        n = len(cores.dictionary)
-        part[plain, 0] = cores.indices.to_numpy()
-        part[plain, 1] = n + tails.indices.to_numpy()
-        part[~plain, 0] = n + len(tails.dictionary) + np.arange(len(others))
-        return flat, place[part], size[part]
+        low = raw.copy()
+        lower = np.repeat(plain, np.diff(at))  # other words go to the tokenizer as they are
+        low[lower] = _LOWER[raw[lower]]
+        capital = wide[lower[wide] & (raw[wide + 1] < 0x9F)] + 1
+        low[capital] += 0x20
+        cut = at[:-1] + np.where(plain, n_letters, np.diff(at))
+        # first the words' letters (or whole words), then their marks
+        begin, size = self._known(low, np.concatenate([at[:-1], cut]), np.concatenate([cut, at[1:]]), np.concatenate([plain, np.zeros(len(plain), bool)]))
+        return begin.reshape(2, -1).T, size.reshape(2, -1).T
 
     def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """The ids of each text, and its lexical keys."""
@@ -140,10 +142,10 @@ class _Encoder:
         offsets = offsets - offsets[0]
         raw, at = byte_column(coded.dictionary)
         first, second = _keys(raw, at, words, offsets)
-        flat, begin, size = self._words(raw, at)
+        begin, size = self._words(raw, at)
         per_part = size[words].ravel()
         upto = np.concatenate([[0], np.cumsum(per_part)])
-        every = flat[np.repeat(begin[words].ravel() - upto[:-1], per_part) + np.arange(upto[-1])]
+        every = self.flat[np.repeat(begin[words].ravel() - upto[:-1], per_part) + np.arange(upto[-1])]
         bounds = upto[2 * offsets]
         out = [every[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
