@@ -1,29 +1,38 @@
 """Quality rules with n-gram perplexity.
 
 Character trigrams are counted per language by Spark, smoothed by interpolated modified Kneser-Ney in
-DataFrame operations, and stored in arrays sorted by hash. A document whose perplexity lies outside its
-language's lower or upper band, or which fails the base rules, is rejected. Characters rather than words
-keep the number of distinct n-grams, and so shuffle and model, small against the corpus.
+DataFrame operations, and stored with their back-off weights in arrays sorted by hash. A document whose perplexity
+lies outside its language's lower or upper band, or which fails the base rules, is rejected.
 
-Defined results: null or empty text has no words and fails the base rules; a null language counts as "und";
-a language's band is the median log10 perplexity plus or minus `width` robust deviations, wider for short
-texts; repeated rows keep their rows; other columns of the input are ignored; an empty table gives no rows.
+A text is scored by the model of the other half of its language's texts (halves by a hash of the text), so no text
+is judged by what it taught. Its perplexity is the mean over the middle half of its words of the log10 perplexity of
+a word's characters, so that a few odd words (a secret, an address, a quotation) do not decide for the whole. The band
+is the language's median plus or minus `width` robust deviations of one word over the root of the number of words.
+
+Characters rather than words: README has the figures of both.
+
+Defined results: null or empty text has no words and fails the base rules; a null language counts as "und"; where the
+other half of a language has no text, the base rules alone decide; repeated rows keep their rows; other columns of the
+input are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, Words, checkpoint, chunks, mix, read, span_hash
 
-#: Trigrams whose model is held in a worker at once; a larger model is applied in several passes.
-MODEL_ROWS = 2_000_000
+#: Rows of models held in a worker at once; more are applied in several passes, each to the languages of its models.
+MODEL_ROWS = 4_000_000
+#: Kinds of a model's rows: log10 probabilities of trigrams, bigrams and characters, back-off weights of contexts of two and of one, and the unseen character.
+P3, P2, P1, BACK2, BACK1, UNSEEN = range(6)
 _SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _BITS = np.uint64(21)
 
@@ -103,12 +112,12 @@ def _dense(padded: np.ndarray, place: np.ndarray, group: np.ndarray, groups: int
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, dict] = {}
+    total: dict[str, list] = {}
     for batch in batches:
-        langs = np.array([x or "und" for x in batch.column(0).to_pylist()], dtype=object)
+        model = np.array(batch.column(0).to_pylist(), dtype=object)
         for lo, hi, raw, at in chunks(batch.column(1)):
             padded, place, rows, _ = _trigrams(raw, at)
-            names, group = np.unique(langs[lo:hi].astype(str), return_inverse=True)
+            names, group = np.unique(model[lo:hi].astype(str), return_inverse=True)
             _, counts, g, keys = _dense(padded, place, group[rows], len(names))
             for i, name in enumerate(names):
                 here = g == i
@@ -123,122 +132,184 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(name, keys, counts):
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["model", "key", "n"])
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of each language for counts 1, 2 and 3 or more."""
-    d = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == i).alias(f"t{i}") for i in (1, 2, 3, 4)])
+    """Modified Kneser-Ney discounts of each model for counts 1, 2 and 3 or more."""
+    d = counts.groupBy("model").agg(*[F.count_if(F.col("n") == i).alias(f"t{i}") for i in (1, 2, 3, 4)])
     y = F.col("t1") / F.greatest(F.col("t1") + 2 * F.col("t2"), F.lit(1))
-    return d.select("lang", *[F.when((F.col(f"t{i}") > 0) & (F.col("t1") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"t{i + 1}") / F.greatest(F.col(f"t{i}"), F.lit(1))))).otherwise(F.lit(i * 0.5)).alias(f"d{i}") for i in (1, 2, 3)])
+    return d.select("model", *[F.when((F.col(f"t{i}") > 0) & (F.col("t1") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"t{i + 1}") / F.greatest(F.col(f"t{i}"), F.lit(1))))).otherwise(F.lit(i * 0.5)).alias(f"d{i}") for i in (1, 2, 3)])
 
 
 def _level(counts: DataFrame) -> DataFrame:
-    """(lang, key, context, n) with the discounted share and the mass left to the lower order."""
+    """(model, key, context, share, gamma): the discounted share of each n-gram and the mass its context leaves to the lower order."""
     d = _discounts(counts)
-    context = counts.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") > 2).alias("k3"))
-    context = context.join(F.broadcast(d), "lang").withColumn("gamma", (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total"))
+    context = counts.groupBy("model", "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") > 2).alias("k3"))
+    context = context.join(d, "model").withColumn("gamma", (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total"))
     off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return counts.join(context, ["lang", "context"]).select("lang", "key", F.greatest(F.lit(0.0), (F.col("n") - off) / F.col("total")).alias("share"), "gamma")
+    return counts.join(context, ["model", "context"]).select("model", "key", "context", F.greatest(F.lit(0.0), (F.col("n") - off) / F.col("total")).alias("share"), "gamma")
 
 
 def kneser_ney(trigrams: DataFrame) -> DataFrame:
-    """(lang, key, logp): log10 probability of every counted trigram's last character after its first two."""
-    low = (1 << 42) - 1
-    three = trigrams.select("lang", "key", "n", F.shiftright("key", 21).alias("context"))
-    two = trigrams.groupBy("lang", F.col("key").bitwiseAND(F.lit(low)).alias("key")).agg(F.count("*").alias("n")).withColumn("context", F.shiftright("key", 21))
-    one = two.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << 21) - 1)).alias("key")).agg(F.count("*").alias("n")).withColumn("context", F.lit(0))
-    size = one.groupBy("lang").agg((F.count("*") + 1).alias("v"))
-    p1 = _level(one).join(F.broadcast(size), "lang").select("lang", F.col("key").alias("k1"), (F.col("share") + F.col("gamma") / F.col("v")).alias("p1"))
-    p2 = _level(two).withColumn("k1", F.col("key").bitwiseAND(F.lit((1 << 21) - 1))).join(p1, ["lang", "k1"]).select("lang", F.col("key").alias("k2"), (F.col("share") + F.col("gamma") * F.col("p1")).alias("p2"))
-    p3 = _level(three).withColumn("k2", F.col("key").bitwiseAND(F.lit(low))).join(p2, ["lang", "k2"])
-    return p3.select("lang", "key", F.log10(F.col("share") + F.col("gamma") * F.col("p2")).alias("logp"))
-
-
-def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
-    return mix(keys.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    """(model, kind, key, value): log10 probabilities of counted n-grams and log10 back-off weights of their contexts."""
+    low, char = (1 << 42) - 1, (1 << 21) - 1
+    three = trigrams.select("model", "key", "n", F.shiftright("key", 21).alias("context"))
+    two = trigrams.groupBy("model", F.col("key").bitwiseAND(F.lit(low)).alias("key")).agg(F.count("*").alias("n")).withColumn("context", F.shiftright("key", 21))
+    one = two.groupBy("model", F.col("key").bitwiseAND(F.lit(char)).alias("key")).agg(F.count("*").alias("n")).withColumn("context", F.lit(0).cast("long"))
+    size = one.groupBy("model").agg((F.count("*") + 1).alias("v"))
+    s1 = checkpoint(_level(one).join(size, "model").select("model", "key", "context", (F.col("share") + F.col("gamma") / F.col("v")).alias("p"), (F.col("gamma") / F.col("v")).alias("unseen")))
+    p1 = s1.select("model", F.col("key").alias("k1"), F.col("p").alias("p1"))
+    s2 = checkpoint(_level(two).withColumn("k1", F.col("key").bitwiseAND(F.lit(char))).join(p1, ["model", "k1"]).select("model", "key", "context", (F.col("share") + F.col("gamma") * F.col("p1")).alias("p"), "gamma"))
+    p2 = s2.select("model", F.col("key").alias("k2"), F.col("p").alias("p2"))
+    s3 = checkpoint(_level(three).withColumn("k2", F.col("key").bitwiseAND(F.lit(low))).join(p2, ["model", "k2"]).select("model", "key", "context", (F.col("share") + F.col("gamma") * F.col("p2")).alias("p"), "gamma"))
+    row = lambda kind, key, value: [F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log10(value).alias("value")]
+    parts = [s.select("model", *row(kind, "key", "p")) for kind, s in ((P3, s3), (P2, s2), (P1, s1))]
+    parts += [s.select("model", *row(kind, "context", "gamma")).distinct() for kind, s in ((BACK2, s3), (BACK1, s2))]
+    parts.append(s1.select("model", *row(UNSEEN, "context", "unseen")).distinct())
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _hash(model: np.ndarray, kind, keys: np.ndarray) -> np.ndarray:
+    """model: hashes of models' names."""
+    return mix(mix(keys.astype(np.uint64) ^ model) + (np.asarray(kind).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class _Model:
+    """Values of models' rows in an array sorted by hash."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.hashes, self.values = hashes, values
+
+    def find(self, model: np.ndarray, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether they are there."""
+        if not len(self.hashes):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        wanted = _hash(model, kind, keys)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return self.values[at].astype(float), self.hashes[at] == wanted
+
+    def log_p(self, model: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of packed trigrams, and whether there is such a model."""
+        out, seen = self.find(model, P3, keys)
+        rest = np.flatnonzero(~seen)
+        value, known = np.zeros(len(rest)), np.ones(len(rest), bool)
+        if len(rest):
+            m, k = model[rest], keys[rest]
+            back2, has = self.find(m, BACK2, k >> 21)
+            p2, seen2 = self.find(m, P2, k & ((1 << 42) - 1))
+            back1, has1 = self.find(m, BACK1, (k >> 21) & ((1 << 21) - 1))
+            p1, seen1 = self.find(m, P1, k & ((1 << 21) - 1))
+            unseen, known = self.find(m, UNSEEN, np.zeros(len(k), np.int64))
+            value = np.where(has, back2, 0) + np.where(seen2, p2, np.where(has1, back1, 0) + np.where(seen1, p1, unseen))
+        out[rest] = value
+        there = np.ones(len(keys), bool)
+        there[rest] = known
+        return out, there
+
+
+def _middle(values: np.ndarray, raw: np.ndarray, at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Mean over the middle half of each row's words of their characters' mean value; a word goes with the white space after it."""
+    out = np.full(n, np.nan)
+    if not len(values):
+        return out
+    space = np.isin(raw[(raw & 0xC0) != 0x80], (32, 9, 10, 11, 12, 13))
+    start = np.ones(len(values), bool)
+    start[1:] = space[:-1] & ~space[1:] | (rows[1:] != rows[:-1])
+    word = np.cumsum(start) - 1
+    means = np.bincount(word, values) / np.bincount(word)
+    row = rows[start]
+    means = means[np.lexsort((means, row))]
+    count = np.bincount(row, minlength=n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    cut = np.repeat(count // 4, count)
+    inner = (place >= cut) & (place < np.repeat(count, count) - cut)
+    held = count > 0
+    # summed row by row, so that the value does not depend on the rows beside it
+    out[held] = (np.bincount(row[inner], means[inner], n) / np.maximum(np.bincount(row[inner], minlength=n), 1))[held]
+    return out
 
 
-def _score(model, last: bool, keep_text: bool):
+def _score(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, hashes, logp = model.value
+        model = _Model(*shared.value)
         for batch in batches:
-            langs = np.array([x or "und" for x in batch.column(1).to_pylist()], dtype=object)
+            asked = batch.column(3).to_numpy().view(np.uint64)
             for lo, hi, raw, at in chunks(batch.column(2)):
                 n = hi - lo
                 padded, place, rows, before = _trigrams(raw, at)
-                names, group = np.unique(langs[lo:hi].astype(str), return_inverse=True)
+                names, group = np.unique(asked[lo:hi], return_inverse=True)
                 index, _, g, keys = _dense(padded, place, group[rows], len(names))
-                wanted = np.zeros(len(keys), np.uint64)
-                for i, name in enumerate(names):
-                    wanted[g == i] = _hash(keys[g == i], seeds.get(name, len(seeds)))
-                value = np.zeros(len(keys))
-                if len(hashes):
-                    spot = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-                    value = np.where(hashes[spot] == wanted, logp[spot], 0.0)
-                # summed per row so that the value does not depend on the rows beside it
-                sums = np.bincount(rows, value[index], minlength=n) if n else np.zeros(0)
-                sums = sums + np.array(batch.column(3).slice(lo, n))
-                cols = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), batch.column(2).slice(lo, n), pa.array(sums)]
-                names_out = ["doc_id", "lang", "text", "logp"]
-                if last:
-                    counted = base_counts(raw, at)
-                    cols = [cols[0], cols[1], *map(pa.array, counted.values()), cols[3], pa.array(np.diff(before).astype(np.int64))]
-                    names_out = ["doc_id", "lang", *counted, "logp", "n_chars"]
-                    if keep_text:
-                        cols, names_out = [*cols, batch.column(2).slice(lo, n)], [*names_out, "text"]
+                value, there = model.log_p(names[g], keys)
+                perplexity = _middle(-value[index], raw, at, rows, n)
+                if not there.all():
+                    perplexity[np.unique(rows[~there[index]])] = np.nan
+                counted = base_counts(raw, at)
+                cols = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *map(pa.array, counted.values()), pa.array(perplexity, mask=np.isnan(perplexity)), pa.array(np.diff(before).astype(np.int64))]
+                names_out = ["doc_id", "lang", *counted, "perplexity", "n_chars"]
+                if keep_text:
+                    cols, names_out = [*cols, batch.column(2).slice(lo, n)], [*names_out, "text"]
                 yield pa.RecordBatch.from_arrays(cols, names=names_out)
 
     return run
 
 
 class Rules:
-    """The model and the bands learnt from all of `docs`; `verdicts` applies them.
+    """The models and the bands learnt from all of `docs`; `verdicts` applies them.
 
-    width: robust deviations from the median to a band's edge. short: a text of this many characters gets a
-    band twice as wide in variance. floor: least robust deviation.
+    width: robust deviations from the median to a band's edge. floor: least robust deviation of a word. model_rows:
+    rows of models that the driver and a worker hold at once; one language's models are never parted.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat: float = 0.2, width: float = 14.0, short: float = 400.0, floor: float = 0.02, model_rows: int = MODEL_ROWS):
-        self.columns, self.min_words, self.max_repeat, self.short = (id_col, text_col, lang_col), min_words, max_repeat, short
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat: float = 0.2, width: float = 4.5, floor: float = 0.02, model_rows: int = MODEL_ROWS):
+        self.columns, self.min_words, self.max_repeat, self.width = (id_col, text_col, lang_col), min_words, max_repeat, width
         spark = docs.sparkSession
-        trigrams = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        model = checkpoint(kneser_ney(checkpoint(trigrams)))
-        seeds = {r[0]: i for i, r in enumerate(model.select("lang").distinct().orderBy("lang").collect())}
-        passes = max(1, math.ceil(model.count() / model_rows))
+        taught = docs.select(self._model(F.col(lang_col), F.col(text_col), 0).alias("model"), F.col(text_col).alias("text"))
+        trigrams = taught.mapInArrow(_count, "model string, key long, n long").groupBy("model", "key").agg(F.sum("n").alias("n"))
+        model = checkpoint(kneser_ney(checkpoint(trigrams)).withColumn("name", F.xxhash64("model")).withColumn("language", F.substring_index("model", "/", 1)))
+        self.passes = max(1, math.ceil(model.count() / model_rows))
         self.parts = []
-        for i in range(passes):
-            # about model_rows rows reach the driver and each worker at a time
-            part = model.where(F.pmod(F.xxhash64("lang", "key"), F.lit(passes)) == i).toPandas()
-            h = np.concatenate([_hash(g["key"].to_numpy(), seeds[k]) for k, g in part.groupby("lang")]) if len(part) else np.zeros(0, np.uint64)
-            p = np.concatenate([g["logp"].to_numpy() for _, g in part.groupby("lang")]) if len(part) else np.zeros(0)
-            order = np.argsort(h)
-            self.parts.append(spark.sparkContext.broadcast((seeds, h[order], p[order])))
+        for i in range(self.passes):
+            part = model.where(self._pass(F.col("language")) == i).select("name", "kind", "key", "value").toPandas()
+            hashes = _hash(part["name"].to_numpy(np.int64).view(np.uint64), part["kind"].to_numpy(), part["key"].to_numpy(np.int64))
+            order = np.argsort(hashes)
+            self.parts.append(spark.sparkContext.broadcast((hashes[order], part["value"].to_numpy(np.float32)[order])))
         self.scored = checkpoint(self._scored(docs, False))
-        q = self.scored.where("perplexity is not null").groupBy("lang").agg(F.percentile(F.round("perplexity", 4), F.lit([0.25, 0.5, 0.75])).alias("q"))
-        spread = F.greatest(F.lit(floor), (F.col("q")[2] - F.col("q")[0]) / 1.349)
-        self.bands = checkpoint(q.select(F.col("lang").alias("band_lang"), F.col("q")[1].alias("middle"), (width * spread).alias("half")))
+        known = self.scored.where("perplexity IS NOT NULL").select("lang", "perplexity", "n_words")
+        quartiles = lambda x, q: F.percentile(F.round(x, 4), F.lit(q))
+        middle = checkpoint(known.groupBy("lang").agg(quartiles(F.col("perplexity"), [0.5])[0].alias("middle")))
+        off = (F.col("perplexity") - F.col("middle")) * F.sqrt("n_words")
+        spread = known.join(middle, "lang").groupBy("lang", "middle").agg(quartiles(off, [0.25, 0.75]).alias("q"))
+        self.bands = checkpoint(spread.select(F.col("lang").alias("band_lang"), "middle", F.greatest(F.lit(floor), (F.col("q")[1] - F.col("q")[0]) / 1.349).alias("spread")))
+
+    @staticmethod
+    def _model(lang: Column, text: Column, other: int) -> Column:
+        """The name of the model that a text teaches, or (other 1) is scored by."""
+        half = (F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)) + other) % 2
+        return F.concat(F.replace(F.coalesce(lang.cast("string"), F.lit("und")), F.lit("/"), F.lit("_")), F.lit("/"), half.cast("string"))
+
+    def _pass(self, language: Column) -> Column:
+        return F.pmod(F.xxhash64(language), F.lit(self.passes))
 
     def _scored(self, docs: DataFrame, keep_text: bool) -> DataFrame:
         id_col, text_col, lang_col = self.columns
         id_type = docs.schema[id_col].dataType.simpleString()
-        out = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("logp", F.lit(0.0))
-        for i, part in enumerate(self.parts):
-            last = i == len(self.parts) - 1
-            shape = f"doc_id {id_type}, lang string, " + ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, logp double, n_chars long" + ", text string" * keep_text if last else "text string, logp double")
-            out = out.mapInArrow(_score(part, last, keep_text), shape)
-        return out.withColumn("perplexity", F.when(F.col("n_chars") > 0, -F.col("logp") / F.col("n_chars"))).withColumn("lang", F.coalesce("lang", F.lit("und")))
+        name = self._model(F.col(lang_col), F.col(text_col), 1)
+        given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(name).alias("model"), F.substring_index(name, "/", 1).alias("language"))
+        shape = f"doc_id {id_type}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, perplexity double, n_chars long" + ", text string" * keep_text
+        parts = [(given.where(self._pass(F.col("language")) == i) if self.passes > 1 else given).drop("language").mapInArrow(_score(part, keep_text), shape) for i, part in enumerate(self.parts)]
+        return reduce(DataFrame.unionByName, parts)
 
     def _judged(self, scored: DataFrame) -> DataFrame:
-        out = scored.join(F.broadcast(self.bands), F.col("lang") == F.col("band_lang"), "left")  # a row for each language
-        half = F.col("half") * F.sqrt(1 + self.short / F.greatest(F.col("n_chars"), F.lit(1)))
+        out = scored.join(self.bands, F.col("lang") == F.col("band_lang"), "left")  # a row for each language
+        half = self.width * F.col("spread") / F.sqrt(F.greatest("n_words", F.lit(1)))
         out = out.withColumns({"lower_band": F.col("middle") - half, "upper_band": F.col("middle") + half})
         out = out.withColumn("base_failed", (F.col("n_words") < self.min_words) | (F.col("n_repeat_words") > self.max_repeat * F.col("n_words")))
-        inside = F.coalesce(F.col("perplexity").between(F.col("lower_band"), F.col("upper_band")), F.lit(False))
-        return out.withColumn("kept", ~F.col("base_failed") & inside).drop("band_lang", "middle", "half", "logp")
+        inside = F.coalesce(F.col("perplexity").between(F.col("lower_band"), F.col("upper_band")), F.lit(True))
+        return out.withColumn("kept", ~F.col("base_failed") & inside).drop("band_lang", "middle", "spread")
 
     def verdicts(self) -> DataFrame:
-        """One row per input row: base counts, log10 perplexity per character, band, verdict."""
+        """One row per input row: base counts, log10 perplexity, band, verdict."""
         return self._judged(self.scored)
 
     def keep(self, docs: DataFrame) -> DataFrame:
