@@ -254,6 +254,11 @@ def _score(shared, keep_text: bool):
     return run
 
 
+def _small(languages: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table with a row for each language: broadcast, so that a common language is no hot key, while it has at most `limit` rows."""
+    return F.broadcast(languages) if languages.count() <= limit else languages
+
+
 class Rules:
     """The models and the bands learnt from all of `docs`; `verdicts` applies them.
 
@@ -279,7 +284,7 @@ class Rules:
         quartiles = lambda x, q: F.percentile(F.round(x, 4), F.lit(q))
         middle = checkpoint(known.groupBy("lang").agg(quartiles(F.col("perplexity"), [0.5])[0].alias("middle")))
         off = (F.col("perplexity") - F.col("middle")) * F.sqrt("n_words")
-        spread = known.join(middle, "lang").groupBy("lang", "middle").agg(quartiles(off, [0.25, 0.75]).alias("q"))
+        spread = known.join(_small(middle), "lang").groupBy("lang", "middle").agg(quartiles(off, [0.25, 0.75]).alias("q"))
         self.bands = checkpoint(spread.select(F.col("lang").alias("band_lang"), "middle", F.greatest(F.lit(floor), (F.col("q")[1] - F.col("q")[0]) / 1.349).alias("spread")))
 
     @staticmethod
@@ -301,7 +306,7 @@ class Rules:
         return reduce(DataFrame.unionByName, parts)
 
     def _judged(self, scored: DataFrame) -> DataFrame:
-        out = scored.join(self.bands, F.col("lang") == F.col("band_lang"), "left")  # a row for each language
+        out = scored.join(_small(self.bands), F.col("lang") == F.col("band_lang"), "left")  # a row for each language
         half = self.width * F.col("spread") / F.sqrt(F.greatest("n_words", F.lit(1)))
         out = out.withColumns({"lower_band": F.col("middle") - half, "upper_band": F.col("middle") + half})
         out = out.withColumn("base_failed", (F.col("n_words") < self.min_words) | (F.col("n_repeat_words") > self.max_repeat * F.col("n_words")))
