@@ -22,9 +22,11 @@ class Predicate:
 
     op: str | None = None
     args: tuple = ()
+    #: A statistic of a summary row that is asked instead of the value.
+    of: str | None = None
 
     def _then(self, op: str, value: Any) -> Predicate:
-        new = Predicate(op, (value,))
+        new = Predicate(op, (value,), self.of)
         return new if self.op is None else Predicate("and", (self, new))
 
     def equals(self, v):
@@ -69,7 +71,8 @@ class Predicate:
 
     def column(self, x: Column, is_string: bool = False) -> Column:
         """The predicate on x; patterns hold for strings only, and null holds for nothing."""
-        op, a = self.op, self.args
+        op, a = self.op, tuple(v.column() if isinstance(v, Ref) else v for v in self.args)
+        x = statistic(self.of) if self.of else x
         if op in ("and", "or"):
             left, right = (p.column(x, is_string) for p in a)
             return left & right if op == "and" else left | right
@@ -96,6 +99,77 @@ class Predicate:
         return f"{_NAMES[self.op]} x {text}"
 
 
+#: Namespaces and components of metric paths, and the names of their statistics in summaries.
+PATHS = {
+    "counts/n": "n", "counts/null": "null", "counts/nan": "nan", "counts/inf": "inf", "distribution/n": "d_n", "distribution/mean": "mean", "distribution/stddev": "stddev",
+    "distribution/min": "min", "distribution/max": "max", "distribution/median": "median", "ints/min": "int_min", "ints/max": "int_max",
+    "cardinality/est": "card_est", "cardinality/upper_1": "card_upper", "cardinality/lower_1": "card_lower", "condition_count/total": "cond_total",
+}
+
+
+def statistic_name(path: str) -> str:
+    """The summary's name of a path like distribution/mean; types/ and distribution/q_ keep their last part; a plain name is itself."""
+    return PATHS.get(path, path.split("/", 1)[1] if path.startswith(("types/", "distribution/q_")) else path)
+
+
+def statistic(path: str) -> Column:
+    if path.startswith("condition_count/") and path not in PATHS:
+        return F.try_element_at("cond", F.lit(path.split("/", 1)[1]))
+    return F.col(f"`{statistic_name(path)}`")
+
+
+@dataclass(frozen=True)
+class Ref:
+    """A statistic of the same column's summary row, written ::namespace/component."""
+
+    path: str
+
+    def column(self) -> Column:
+        return statistic(self.path)
+
+    def __str__(self) -> str:
+        return f"::{self.path}"
+
+
+def require(component: str) -> Predicate:
+    """The start of a predicate on a statistic of a summary row."""
+    return Predicate(of=component)
+
+
+@dataclass(frozen=True)
+class Condition:
+    """A relation that values are counted by. Failing values are logged, or raise an error, and are given to each action(namespace, name, value)."""
+
+    relation: Any
+    log_on_failure: bool = False
+    throw_on_failure: bool = False
+    actions: tuple = ()
+
+
+def as_predicate(p) -> Predicate:
+    """A predicate of a Condition, a text form, a function of a Column, or a predicate itself."""
+    if isinstance(p, Condition):
+        p = p.relation
+    return p if isinstance(p, Predicate) else parse(p) if isinstance(p, str) else Predicate("udf", (p,))
+
+
+def relation(op: str, value) -> Predicate:
+    """A relation by its name, as predicates have it."""
+    return Predicate(TOKENS.get(op, {"less": "lt", "leq": "le", "greater": "gt", "geq": "ge", "equal": "eq", "neq": "ne", "match": "matches"}.get(op, op)), (value,))
+
+
+def and_relations(a: Predicate, b: Predicate) -> Predicate:
+    return a.and_(b)
+
+
+def or_relations(a: Predicate, b: Predicate) -> Predicate:
+    return a.or_(b)
+
+
+def not_relation(a: Predicate) -> Predicate:
+    return a.not_()
+
+
 _LEX = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[^\s"]+)')
 
 
@@ -104,6 +178,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 def literal(token: str):
+    if token.startswith("::"):
+        return Ref(token[2:])
     if token.startswith('"'):
         return re.sub(r"\\(.)", r"\1", token[1:-1])
     return float(token) if re.search(r"[.eE]|inf|nan", token) else int(token)
@@ -150,7 +226,7 @@ def parse_expression(text: str, lookup) -> Column:
             return _COMPARE[TOKENS[t]](left, read())
         if t.startswith(":"):
             _, column, metric = t.split(":", 2)
-            return lookup(column, metric)
+            return lookup(column, statistic_name(metric))
         return F.lit(literal(t))
 
     out = read()
@@ -167,18 +243,70 @@ def condition_counts(df, column: str, conditions: dict[str, Predicate]):
     return df.agg(F.count(x).alias("total"), *[F.count_if(x.isNotNull() & p.column(x, text)).alias(name) for name, p in conditions.items()])
 
 
-def failures(df, column: str, conditions: dict[str, Predicate], id_col: str | None = None, samples: int = 10):
-    """(condition, total, failed, sample): values that fail each condition; the sample is the `samples` of least hash."""
-    from functools import reduce
+def failures(df, column: str, conditions: dict, id_col: str | None = None, samples: int = 10):
+    """(condition, total, failed, samples): values that fail each condition, and up to `samples` of their ids (or of themselves).
 
+    One aggregate for all conditions. The sample is the values of least hash in twice as many classes of the hash.
+    """
     from ..functions.types import kind_of
 
-    x, text = F.col(column), kind_of(df.schema[column].dataType) == "string"
-    value = (F.col(id_col) if id_col else x).cast("string")
-    parts = []
+    x, text = F.col(f"`{column}`"), kind_of(df.schema[column].dataType) == "string"
+    value = (F.col(f"`{id_col}`") if id_col else x).cast("string")
+    h, rows, classes = F.xxhash64(value), [], 2 * samples
     for name, p in conditions.items():
-        bad = ~F.coalesce(p.column(x, text), F.lit(False))
-        tagged = F.struct(F.xxhash64(value).alias("h"), value.alias("v"))
-        # the k smallest by k bounded minima: a sample without collecting what fails
-        parts.append(df.agg(F.lit(name).alias("condition"), F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("failed"), F.min(F.when(bad, tagged))["v"].alias("sample")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        bad = ~F.coalesce(as_predicate(p).column(x, text), F.lit(False))
+        least = [F.min(F.when(bad & (F.pmod(h, F.lit(classes)) == i), F.struct(h.alias("h"), value.alias("v")))) for i in range(classes)]
+        held = F.transform(F.slice(F.array_sort(F.array_compact(F.array(*least))), 1, samples), lambda s: s["v"])
+        rows.append(F.struct(F.lit(name).alias("condition"), F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("failed"), held.alias("samples")))
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+def run_actions(df, column: str, conditions: dict, id_col: str | None = None) -> None:
+    """Gives every failing value (with its row's id, where there is one) to the actions of its condition, on the executors.
+
+    Conditions that log or raise do so afterwards, on the driver.
+    """
+    import logging
+
+    from ..functions.types import kind_of
+
+    x, text = F.col(f"`{column}`"), kind_of(df.schema[column].dataType) == "string"
+    failing = {name: x.isNotNull() & ~F.coalesce(as_predicate(c).column(x, text), F.lit(False)) for name, c in conditions.items()}
+    acted = {name: c.actions for name, c in conditions.items() if isinstance(c, Condition) and c.actions}
+    if acted:
+        tags = F.array_compact(F.array(*[F.when(failing[name], F.lit(name)) for name in acted]))
+        rows = df.select(F.explode(tags).alias("name"), x.alias("value"), (F.col(f"`{id_col}`") if id_col else F.lit(None)).alias("id"))
+
+        def each(part):
+            for r in part:
+                for action in acted[r.name]:
+                    action("condition_count", r.name, r.value) if id_col is None else action("condition_count", r.name, r.value, r.id)
+
+        rows.foreachPartition(each)
+    told = {n: c for n, c in conditions.items() if isinstance(c, Condition) and (c.log_on_failure or c.throw_on_failure)}
+    if told:
+        failed = df.agg(*[F.count_if(failing[n]).alias(n) for n in told]).first().asDict()
+        logged = [n for n, c in told.items() if c.log_on_failure and failed[n]]
+        thrown = [n for n, c in told.items() if c.throw_on_failure and failed[n]]
+        if logged:
+            logging.getLogger(__name__).warning("conditions %s failed", ", ".join(logged))
+        if thrown:
+            raise ValueError(f"conditions {', '.join(thrown)} failed")
+
+
+_VALIDATORS: dict[str, dict[str, Condition]] = {}
+
+
+def condition_validator(columns, name: str | None = None, actions: tuple = ()):
+    """Registers a function of a Column as a condition of the named columns; `validators_of` gives them back."""
+
+    def add(fn):
+        for c in [columns] if isinstance(columns, str) else columns:
+            _VALIDATORS.setdefault(c, {})[name or fn.__name__] = Condition(fn, actions=tuple(actions))
+        return fn
+
+    return add
+
+
+def validators_of(column: str) -> dict[str, Condition]:
+    return dict(_VALIDATORS.get(column, {}))

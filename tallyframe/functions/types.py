@@ -32,8 +32,10 @@ def is_nan(c: Column, dtype: T.DataType) -> Column:
     return F.isnan(c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else F.lit(False)
 
 
-def as_number(c: Column, dtype: T.DataType) -> Column | None:
-    """The value as a double without NaN; booleans are 1 and 0; None for what has no number."""
+def as_number(c: Column, dtype: T.DataType, parse: bool = False) -> Column | None:
+    """The value as a double without NaN; booleans are 1 and 0; None for what has no number. parse: read numbers in strings."""
+    if parse and kind_of(dtype) == "string":
+        return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
     if kind_of(dtype) not in ("integral", "fractional", "boolean"):
         return None
     x = c.cast("double")

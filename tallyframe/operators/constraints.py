@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import parse_expression
+from ..functions.predicates import Predicate, parse_expression
 from ..functions.types import KINDS
-from .summary import cardinality, quantile, stddev, summarize
+from .summary import QUANTILES, cardinality, quantile, stddev, summarize
 
 
 @dataclass(frozen=True)
 class Constraint:
-    """condition: a boolean Column over the column's profile row. required: a missing statistic fails."""
+    """condition: a boolean Column, or a Predicate started by `require`, over a column's summary row.
+
+    column: one name, several, or a function of the name and kind of a column; all columns it takes must pass.
+    required: a column that the profile lacks is an error, and a missing statistic fails; else both pass.
+    """
 
     name: str
-    column: str
-    condition: Column
+    column: str | tuple | Callable[[Column], Column]
+    condition: Column | Predicate
     required: bool = True
 
+    def takes(self) -> Column:
+        if callable(self.column):
+            return self.column(F.col("column"))
+        return F.col("column").isin([self.column] if isinstance(self.column, str) else list(self.column))
+
+    def passes(self) -> Column:
+        test = self.condition.column(F.lit(None)) if isinstance(self.condition, Predicate) else self.condition
+        return F.coalesce(test, F.lit(not self.required))
 
-def _c(column, text, condition, required=False):
+
+def _c(column, text, condition, required=True):
     return Constraint(f"{column} {text}", column, condition, required)
 
 
@@ -106,33 +120,121 @@ def column_is_probably_unique(c):
     return _c(c, "is probably unique", (F.col("n") - F.col("null")).between(lower, upper))
 
 
-def condition_meets(counts: DataFrame, name: str) -> DataFrame:
-    return counts.select((F.col(name) == F.col("total")).alias("passed"))
+def condition_meets(c, name):
+    return _c(c, f"meets condition {name}", F.try_element_at("cond", F.lit(name)) == F.col("cond_total"))
+
 
+def condition_never_meets(c, name):
+    return _c(c, f"never meets condition {name}", F.try_element_at("cond", F.lit(name)) == 0)
 
-def condition_never_meets(counts: DataFrame, name: str) -> DataFrame:
-    return counts.select((F.col(name) == 0).alias("passed"))
 
+def condition_count_below(c, name, x):
+    return _c(c, f"condition {name} count below {x}", F.try_element_at("cond", F.lit(name)) <= x)
 
-def condition_count_below(counts: DataFrame, name: str, x: int) -> DataFrame:
-    return counts.select((F.col(name) <= x).alias("passed"))
 
+def report(profile: DataFrame, constraints: list[Constraint], with_summary: bool = False) -> DataFrame:
+    """(constraint, column, passed, failed) of each constraint, in one aggregate over the profile's rows.
 
-def report(profile: DataFrame, constraints: list[Constraint]) -> DataFrame:
-    """(constraint, column, passed, failed) of each constraint; a column that the profile lacks fails if it is required."""
+    A required column that the profile lacks raises ValueError. with_summary: the statistics, as JSON, of the columns asked.
+    """
     names = {r[0] for r in profile.select("column").distinct().collect()}
-    missing = {c.column for c in constraints if c.required} - names
-    if missing:
+    asked = {c for k in constraints if k.required and not callable(k.column) for c in ([k.column] if isinstance(k.column, str) else k.column)}
+    if missing := asked - names:
         raise ValueError(f"not in the profile: {sorted(missing)}")
-    tests = [F.when(F.col("column") == c.column, F.struct(F.lit(c.name).alias("constraint"), F.coalesce(c.condition, F.lit(not c.required)).alias("passed"))) for c in constraints if c.column in names]
-    out = profile.select("column", F.explode(F.array_compact(F.array(*tests))).alias("t"))
-    return out.select("t.constraint", "column", F.col("t.passed").cast("int").alias("passed"), (1 - F.col("t.passed").cast("int")).alias("failed"))
+    flat = _with_statistics(profile)
+    tests = []
+    for i, c in enumerate(constraints):
+        label = c.name if callable(c.column) else c.column if isinstance(c.column, str) else ",".join(c.column)
+        fields = [F.lit(c.name).alias("constraint"), F.lit(label).alias("column"), F.coalesce(F.bool_and(F.when(c.takes(), c.passes())), F.lit(not c.required)).alias("passed")]
+        if with_summary:
+            fields.append(F.to_json(F.array_sort(F.collect_list(F.when(c.takes(), F.struct("column", "n", "null", "mean", "min", "max", "card_est"))))).alias("summary"))
+        tests.append(F.struct(*fields))
+    out = flat.agg(F.array(*tests).alias("t")).select(F.inline("t"))
+    return out.select("constraint", "column", F.col("passed").cast("int").alias("passed"), (1 - F.col("passed").cast("int")).alias("failed"), *(["summary"] if with_summary else []))
+
+
+def _with_statistics(profile: DataFrame) -> DataFrame:
+    """The profile with the statistics that predicates may ask for."""
+    return profile.withColumns({"stddev": stddev(), **{name: quantile(q) for name, q in QUANTILES.items()}}).withColumns(dict(zip(("card_est", "card_upper", "card_lower"), cardinality())))
 
 
 def validate(profile: DataFrame, constraints: list[Constraint]) -> bool:
     return not report(profile, constraints).where("failed > 0").take(1)
 
 
+class ConstraintsBuilder:
+    """Gathers constraints over a profile: add, then build."""
+
+    def __init__(self, profile: DataFrame):
+        self.profile, self._constraints, self._datasets, self._comparisons = profile, [], [], []
+
+    def add_constraint(self, constraint) -> ConstraintsBuilder:
+        kept = {Constraint: self._constraints, DatasetConstraint: self._datasets, ComparisonConstraint: self._comparisons}[type(constraint)]
+        if constraint.name in {c.name for c in kept}:
+            raise ValueError(f"a constraint is named {constraint.name}")
+        kept.append(constraint)
+        return self
+
+    def add_constraints(self, constraints) -> ConstraintsBuilder:
+        for c in constraints:
+            self.add_constraint(c)
+        return self
+
+    def build(self) -> Constraints:
+        return Constraints(self.profile, tuple(self._constraints), tuple(self._datasets), tuple(self._comparisons))
+
+
+@dataclass(frozen=True)
+class DatasetConstraint:
+    """A condition in prefix form over all columns; without a statistic that it names it fails, or passes if not required."""
+
+    name: str
+    expression: str
+    required: bool = True
+
+
+@dataclass(frozen=True)
+class ComparisonConstraint:
+    """A condition over t.<statistic> and r.<statistic> of a column in the profile and in the reference."""
+
+    name: str
+    column: str
+    condition: Column
+    required: bool = True
+
+
+@dataclass(frozen=True)
+class Constraints:
+    profile: DataFrame
+    columns: tuple = ()
+    datasets: tuple = ()
+    comparisons: tuple = ()
+
+    def report(self, reference: DataFrame | None = None) -> DataFrame:
+        parts = [report(self.profile, list(self.columns))] if self.columns else []
+        for d in self.datasets:
+            passed = F.coalesce("passed", F.lit(not d.required)).cast("int")
+            parts.append(prefix_constraint(self.profile, d.expression).select(F.lit(d.name).alias("constraint"), F.lit(None).cast("string").alias("column"), passed.alias("passed"), (1 - passed).alias("failed")))
+        if self.comparisons:
+            if reference is None:
+                raise ValueError("a comparison needs a reference profile")
+            parts.append(compare(self.profile, reference, list(self.comparisons)))
+        if not parts:
+            raise ValueError("no constraints")
+        return reduce(DataFrame.unionByName, parts)
+
+    def validate(self, reference: DataFrame | None = None) -> bool:
+        return not self.report(reference).where("failed > 0").take(1)
+
+
+def compare(profile: DataFrame, reference: DataFrame, constraints: list[ComparisonConstraint]) -> DataFrame:
+    """The report of comparisons: a row for each; a column that one side lacks fails, or passes if not required."""
+    both = _with_statistics(profile).alias("t").join(_with_statistics(reference).alias("r"), F.col("t.column") == F.col("r.column"))
+    tests = [F.struct(F.lit(c.name).alias("constraint"), F.lit(c.column).alias("column"), F.coalesce(F.bool_and(F.when(F.col("t.column") == c.column, F.coalesce(c.condition, F.lit(not c.required)))), F.lit(not c.required)).alias("passed")) for c in constraints]
+    out = both.agg(F.array(*tests).alias("x")).select(F.inline("x"))
+    return out.select("constraint", "column", F.col("passed").cast("int").alias("passed"), (1 - F.col("passed").cast("int")).alias("failed"))
+
+
 def prefix_constraint(profile: DataFrame, expression: str) -> DataFrame:
     """A dataset constraint in prefix form, as one row (passed); references look like :column:mean."""
     wanted: dict[tuple[str, str], str] = {}
@@ -152,10 +254,44 @@ def suggest(profile: DataFrame) -> DataFrame:
     est, upper, lower = cardinality(3)
     valid = F.col("n") - F.col("null")
     unique = F.coalesce(valid.between(lower, upper), F.lit(False))
-    few = (F.hll_sketch_estimate("hll") <= 50) & (F.hll_sketch_estimate("hll") / valid < 0.01)
+    share = F.when(valid > 0, F.hll_sketch_estimate("hll") / valid)
+    few = (F.hll_sketch_estimate("hll") <= 50) & (share < 0.01)
     rules = [
         (unique, "is probably unique"), (F.col("null") == 0, "has no missing values"), (F.col("min") >= 0, "is non negative"),
         ((F.hll_sketch_estimate("hll") > 50) & ~unique & (F.col("d_n") > 0), "is in range"), (few & F.col("items").isNotNull(), "values in set"),
         *[(F.col(k) == 0, f"has no {k}") for k in KINDS],
     ]
-    return profile.select("column", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))).alias("suggestion"))
+    conditions = F.transform(F.map_entries(F.coalesce("cond", F.create_map().cast("map<string,bigint>"))), lambda e: F.when(e["value"] == F.col("cond_total"), F.concat(F.lit("meets condition "), e["key"])).when(e["value"] == 0, F.concat(F.lit("never meets condition "), e["key"])))
+    return profile.select("column", F.explode(F.array_compact(F.concat(F.array(*[F.when(c, F.lit(t)) for c, t in rules]), conditions))).alias("suggestion"))
+
+
+def suggest_constraints(profile: DataFrame, include: list[str] | None = None, exclude: list[str] = ()) -> list[Constraint]:
+    """Constraints that the profile itself meets, for the columns included and not excluded. A row of each column comes to the driver."""
+    names = [r[0] for r in profile.select("column").distinct().collect() if (include is None or r[0] in include) and r[0] not in exclude]
+    mine = profile.where(F.col("column").isin(names))
+    found: dict[str, list[str]] = {}
+    for r in suggest(mine).collect():
+        found.setdefault(r.column, []).append(r.suggestion)
+    items = F.expr("CASE WHEN items IS NOT NULL THEN transform(approx_top_k_estimate(items, 128), x -> x.item) END")
+    known = {r.column: r for r in mine.select("column", "min", "max", items.alias("items")).collect()}
+    out = []
+    for c in sorted(found):
+        zero = [s[len("has no ") :] for s in found[c] if s.startswith("has no ") and s[len("has no ") :] in KINDS]
+        for text in found[c]:
+            if text == "is probably unique":
+                out.append(column_is_probably_unique(c))
+            elif text == "has no missing values":
+                out.append(no_missing_values(c))
+            elif text == "is non negative":
+                out.append(is_non_negative(c))
+            elif text == "is in range":
+                out.append(is_in_range(c, known[c]["min"], known[c]["max"]))
+            elif text == "values in set":
+                out.append(frequent_strings_in_reference_set(c, list(known[c]["items"])))
+            elif text.startswith("meets condition "):
+                out.append(condition_meets(c, text[len("meets condition ") :]))
+            elif text.startswith("never meets condition "):
+                out.append(condition_never_meets(c, text[len("never meets condition ") :]))
+        if zero:
+            out.append(column_has_zero_count_types(c, zero))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ def nfd(c: Column) -> Column:
     """Canonical decomposition; SQL has no function for it."""
     import unicodedata
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decompose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFD", x), na_action="ignore")
@@ -25,9 +24,8 @@ def nfd(c: Column) -> Column:
     return decompose(c)
 
 
-def unicode_counts(df: DataFrame, column: str, ranges: dict = UNICODE_RANGES, lower: bool = True, normalize: bool = False) -> DataFrame:
-    """The frame with a column for each range, UNKNOWN and string_length."""
-    text = F.col(column)
+def unicode_columns(text: Column, ranges: dict = UNICODE_RANGES, lower: bool = True, normalize: bool = False) -> dict[str, Column]:
+    """How many characters of each range, of none (UNKNOWN), and in all (string_length) a text has."""
     x = F.lower(nfd(text) if normalize else text) if lower else nfd(text) if normalize else text
 
     def outside(lo, hi):
@@ -35,7 +33,12 @@ def unicode_counts(df: DataFrame, column: str, ranges: dict = UNICODE_RANGES, lo
 
     known = "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges.values())
     counts = {name: F.length(F.regexp_replace(x, outside(lo, hi), "")) for name, (lo, hi) in ranges.items()}
-    return df.withColumns({**counts, "UNKNOWN": F.length(F.regexp_replace(x, f"[{known}]", "")), "string_length": F.length(text)})
+    return {**counts, "UNKNOWN": F.length(F.regexp_replace(x, f"[{known}]", "")), "string_length": F.length(text)}
+
+
+def unicode_counts(df: DataFrame, column: str, ranges: dict = UNICODE_RANGES, lower: bool = True, normalize: bool = False) -> DataFrame:
+    """The frame with a column for each range, UNKNOWN and string_length."""
+    return df.withColumns(unicode_columns(F.col(column), ranges, lower, normalize))
 
 
 def embedding_distances(df: DataFrame, column: str, references: dict[str, list[float]], metric: str = "euclidean") -> DataFrame:
@@ -56,13 +59,87 @@ def embedding_distances(df: DataFrame, column: str, references: dict[str, list[f
     return df.withColumn("closest", closest)
 
 
-def reference_vectors(df: DataFrame, column: str, k: int, seed: int = 0) -> list[list[float]]:
-    """k-means centres as reference vectors."""
+def reference_vectors(df: DataFrame, column: str, k: int, seed: int = 0, components: int | None = None) -> list[list[float]]:
+    """k-means centres as reference vectors; with `components`, found in the space of that many principal components and brought back."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=k, seed=seed, featuresCol="v").fit(df.select(array_to_vector(F.col(column)).alias("v")))
-    return [c.tolist() for c in model.clusterCenters()]
+    vectors = df.select(array_to_vector(F.transform(F.col(column), lambda v: v.cast("double"))).alias("v"))
+    if components is None:
+        return [c.tolist() for c in KMeans(k=k, seed=seed, featuresCol="v").fit(vectors).clusterCenters()]
+    pca = PCA(k=components, inputCol="v", outputCol="p").fit(vectors)
+    axes = pca.pc.toArray()
+    return [(axes @ c).tolist() for c in KMeans(k=k, seed=seed, featuresCol="p").fit(pca.transform(vectors)).clusterCenters()]
+
+
+def class_centroids(df: DataFrame, column: str, label: str) -> dict[str, list[float]]:
+    """The mean vector of each label; labels come to the driver, so there should be few."""
+    rows = df.select(F.col(label).cast("string").alias("label"), F.posexplode(column).alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    lists = rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("v"))
+    return {r.label: list(r.v) for r in lists.orderBy("label").collect()}
+
+
+def embedding_profile_columns(df: DataFrame, column: str, references: dict[str, list[float]], metric: str = "euclidean") -> DataFrame:
+    """Distances and closest label as sub-metric columns column/embedding.<name>, for `profile`."""
+    out = embedding_distances(df.select(F.col(column)), column, references, metric).drop(column)
+    return out.toDF(*[f"{column}/embedding.{c}" for c in out.columns])
+
+
+def document_lengths(df: DataFrame, column: str) -> DataFrame:
+    """The frame with doc_length (terms) and term_length (mean characters of a term) of each text."""
+    terms = F.filter(F.split(F.lower(F.col(column)), r"\s+"), lambda t: t != "")
+    size = F.when(F.col(column).isNotNull(), F.size(terms))
+    return df.withColumns({"doc_length": size, "term_length": F.when(size > 0, F.aggregate(F.transform(terms, F.length), F.lit(0), lambda a, n: a + n) / size)})
+
+
+class Lsi:
+    """Latent semantic indexing of texts: singular vectors of hashed term counts, and how much of a text they do not explain.
+
+    The Gram matrix of `terms` hashed term counts is summed on the executors (terms^2 numbers, whatever the corpus) and
+    decomposed on the driver. `update` adds more texts, older ones fading by `decay`.
+    """
+
+    def __init__(self, terms: int = 256, rank: int = 16, decay: float = 1.0):
+        self.terms, self.rank, self.decay, self.gram = terms, rank, decay, None
+
+    def _pairs(self, df: DataFrame, column: str) -> DataFrame:
+        place = F.transform(F.filter(F.split(F.lower(F.col(column)), r"\s+"), lambda t: t != ""), lambda t: F.pmod(F.xxhash64(t), F.lit(self.terms)).cast("int"))
+        distinct = F.array_distinct(place)
+        return df.select("*", F.transform(distinct, lambda i: F.struct(i.alias("i"), F.size(F.filter(place, lambda p: p == i)).cast("double").alias("n"))).alias("__v"))
+
+    def update(self, df: DataFrame, column: str) -> Lsi:
+        import numpy as np
+
+        one = self._pairs(df.select(column), column).select("__v", F.explode_outer("__v").alias("a")).where("a IS NOT NULL")
+        sums = one.select("a", F.explode("__v").alias("b")).where("a.i <= b.i").groupBy("a.i", "b.i").agg(F.sum(F.col("a.n") * F.col("b.n")).alias("s")).toDF("i", "j", "s")
+        gram = np.zeros((self.terms, self.terms))
+        for i, j, s in sums.collect():
+            gram[i, j] = gram[j, i] = s
+        self.gram = gram if self.gram is None else self.decay * self.gram + gram
+        values, vectors = np.linalg.eigh(self.gram)
+        self.axes = vectors[:, np.argsort(-values)[: self.rank]]
+        return self
+
+    def residuals(self, df: DataFrame, column: str) -> DataFrame:
+        """The frame with `lsi_residual`: the share of a text's counts outside the axes (0 to 1); null without terms."""
+        axes = [F.array(*[F.lit(float(x)) for x in self.axes[:, r]]) for r in range(self.axes.shape[1])]
+        v = self._pairs(df, column)
+        norm = F.aggregate("__v", F.lit(0.0), lambda a, e: a + e["n"] * e["n"])
+        along = lambda x: F.aggregate("__v", F.lit(0.0), lambda a, e: a + e["n"] * F.get(x, e["i"]))
+        held = sum((F.pow(along(x), F.lit(2)) for x in axes), F.lit(0.0))
+        return v.withColumn("lsi_residual", F.when(norm > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - held / norm)))).drop("__v")
+
+
+def text_profile(df: DataFrame, column: str, lsi: Lsi | None = None, plan=None) -> DataFrame:
+    """The profile of a text column's sub-metrics: bag-of-words lengths and, where given, LSI residuals."""
+    from .profile import profile
+
+    out = document_lengths(df, column)
+    names = {"doc_length": f"{column}/bag_of_words.doc_length", "term_length": f"{column}/bag_of_words.term_length"}
+    if lsi is not None:
+        out, names["lsi_residual"] = lsi.residuals(out, column), f"{column}/lsi.residual"
+    return profile(out.withColumnsRenamed(names), plan, columns=list(names.values()))
 
 
 def bag_of_words(df: DataFrame, column: str) -> DataFrame:

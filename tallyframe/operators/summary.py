@@ -35,7 +35,7 @@ def cardinality(sigma: int = 3, lg_k: int = 12, merged: bool = False) -> list[Co
 def summarize(profiles: DataFrame) -> DataFrame:
     """One row per profile row with all statistics as plain columns."""
     keys = [c for c in profiles.columns if c not in STATES]
-    plain = [c for c in STATES if c not in ("kll", "hll", "items")]
+    plain = [c for c in STATES if c not in ("kll", "hll", "items", "custom")]
     items = F.expr("CASE WHEN items IS NOT NULL THEN approx_top_k_estimate(items, 128) END")
     return profiles.select(*keys, *plain, stddev().alias("stddev"), *[quantile(q).alias(name) for name, q in QUANTILES.items()], *cardinality(), items.alias("frequent_items"))
 
@@ -51,13 +51,18 @@ def overall(profiles: DataFrame) -> DataFrame:
     return profiles.agg(F.max("n").alias("observations"), F.sum("null").alias("missing_cells"), (F.sum("null") / F.sum("n")).alias("missing_share"))
 
 
+def _parts(df: DataFrame) -> int:
+    """A fixed number of ranges, so that two branches that read one exchange number its partitions alike."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float], inclusive: bool = False) -> DataFrame:
     """Quantiles from counts of distinct values: the item at place floor(q * n), or the inclusive rule."""
     from pyspark.sql import Window as W
 
     counts = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("k"))
     # ranges of values are counted first, so the running count needs no single task over all values
-    ranged = counts.repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    ranged = counts.repartitionByRange(_parts(df), "x").withColumn("part", F.spark_partition_id())
     before = ranged.groupBy("part").agg(F.sum("k").alias("part_n")).withColumn("offset", F.coalesce(F.sum("part_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     total = before.agg(F.sum("part_n").alias("n"))
     upto = F.sum("k").over(W.partitionBy("part").orderBy("x"))
@@ -87,7 +92,7 @@ def bins(n: int, low: float, high: float, max_buckets: int = 30) -> tuple[float,
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """(bin, start, end, count) of all bins, empty ones included."""
-    x = F.col(column).cast("double")
+    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
     if not n:
         return df.sparkSession.createDataFrame([], "bin int, start double, end double, count long")
@@ -96,3 +101,84 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     found = df.where(x.isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("k"))
     every = df.sparkSession.range(count).select(F.col("id").cast("int").alias("bin"))
     return every.join(found, "bin", "left").select("bin", (F.lit(start) + F.col("bin") * width).alias("start"), (F.lit(start) + (F.col("bin") + 1) * width).alias("end"), F.coalesce("k", F.lit(0)).cast("long").alias("count"))
+
+
+#: Ranks of the quantiles that stand for a sketch where a point to ask for is only known row by row.
+GRID = [(i + 0.5) / 1000 for i in range(1000)]
+
+
+def grid(kll: str = "kll") -> Column:
+    """Quantiles of a sketch in small steps of rank."""
+    return F.kll_sketch_get_quantile_double(F.col(kll), F.array(*map(F.lit, GRID)))
+
+
+def below(quantiles: Column, point: Column) -> Column:
+    """The share of a sketch's values below a point, from its quantiles, to a thousandth."""
+    return F.size(F.filter(quantiles, lambda q: q < point)) / float(len(GRID))
+
+
+def cdf(points: list[float] | Column, kll: str = "kll") -> Column:
+    """The share of values below each point: from the sketch for fixed points, to a thousandth for points of the row."""
+    if isinstance(points, Column):
+        return F.transform(points, lambda p: below(grid(kll), p))
+    return F.array(*[F.kll_sketch_get_rank_double(F.col(kll), F.lit(math.nextafter(float(p), -math.inf))) for p in points])
+
+
+def pmf(points: list[float] | Column, kll: str = "kll") -> Column:
+    """The shares of values below the first point, between neighbours, and from the last on."""
+    upto = cdf(points, kll)
+    return F.zip_with(F.concat(upto, F.array(F.lit(1.0))), F.concat(F.array(F.lit(0.0)), upto), lambda a, b: a - b)
+
+
+def quantile_statistics(profiles: DataFrame) -> DataFrame:
+    """Five quantiles and the interquartile range of each column."""
+    keys = [c for c in profiles.columns if c not in STATES]
+    named = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+    return profiles.select(*keys, *[quantile(q).alias(n) for n, q in named.items()], (quantile(0.75) - quantile(0.25)).alias("iqr"))
+
+
+def feature_statistics(profiles: DataFrame) -> DataFrame:
+    """Totals, missing values, distinct share, extremes, whether a column is unique, and whether it is all null."""
+    keys = [c for c in profiles.columns if c not in STATES]
+    est, upper, lower = cardinality(3)
+    valid = F.col("n") - F.col("null")
+    return profiles.select(
+        *keys, F.col("n").alias("total"), F.col("null").alias("missing"), est, (est / F.when(valid > 0, valid)).alias("unique_share"), "min", "max", (F.col("max") - F.col("min")).alias("range"),
+        valid.between(lower, upper).alias("probably_unique"), (valid == 0).alias("only_null"),
+    )
+
+
+def top_items(profiles: DataFrame, n: int = 10) -> DataFrame:
+    """(keys, items): the n most frequent items of each column, each as value:count."""
+    keys = [c for c in profiles.columns if c not in STATES]
+    items = F.expr(f"CASE WHEN items IS NOT NULL THEN slice(approx_top_k_estimate(items, {max(n, 1)}), 1, {n}) END")
+    return profiles.select(*keys, F.transform(items, lambda i: F.concat_ws(":", i["item"], i["count"])).alias("items"))
+
+
+def sketch_histogram(profiles: DataFrame, max_buckets: int = 30) -> DataFrame:
+    """(keys, edges, counts) of each numeric column, from its sketch: bins as `histogram` has them."""
+    keys = [c for c in profiles.columns if c not in STATES]
+    one = (F.col("d_n") < 2) | (F.col("min") == F.col("max"))
+    end = F.col("max") + F.abs("max") * 1e-7
+    count = F.when(one, 1).otherwise(F.greatest(F.lit(2), F.least(F.lit(max_buckets), F.ceil(F.col("d_n") / 4).cast("int"))))
+    width = F.when(one, F.greatest(F.abs("min") * 1e-7, F.lit(1.1754943508222875e-38))).otherwise((end - F.col("min")) / count)
+    rows = profiles.where("d_n > 0").select(*keys, "kll", "d_n", F.transform(F.sequence(F.lit(0), count), lambda i: F.col("min") + i * width).alias("edges"))
+    rows = rows.withColumn("grid", grid()).drop("kll")
+    upto = F.transform("edges", lambda e: below(F.col("grid"), e))
+    shares = F.zip_with(F.slice(upto, F.lit(2), F.size(upto) - 1), F.slice(upto, F.lit(1), F.size(upto) - 1), lambda b, a: b - a)
+    return rows.select(*keys, "edges", F.transform(shares, lambda s: F.round(s * F.col("d_n")).cast("long")).alias("counts"))
+
+
+def to_json(profiles: DataFrame, reference: DataFrame | None = None, drift_options: dict | None = None) -> DataFrame:
+    """One row (profile): the summary of a profile by column as JSON, with drift from a reference where one is given."""
+    flat = summarize(profiles).drop("cond")
+    flat = flat.withColumn("frequent_items", F.to_json("frequent_items"))
+    hist = sketch_histogram(profiles.select("column", *STATES))
+    rows = flat.join(hist, "column", "left")
+    if reference is not None:
+        from .drift import drift_scores
+
+        rows = rows.join(drift_scores(profiles, reference, **(drift_options or {})).select("column", F.struct("algorithm", "statistic", "p_value", "category").alias("drift_from_ref")), "column", "left")
+    name = F.col("column")
+    body = F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, F.to_json(F.struct(*[c for c in rows.columns if c != "column"]))))))
+    return rows.agg(F.to_json(F.struct(body.alias("columns"), F.struct(F.max("n").alias("observations"), F.sum("null").alias("missing_cells")).alias("properties"))).alias("profile"))

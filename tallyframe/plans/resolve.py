@@ -26,6 +26,7 @@ class Config:
     item_length: int = 128
     items_disabled: bool = False
     track_unicode: bool = False
+    numeric_strings: bool = False
     columns_per_aggregate: int = 100
 
 
@@ -45,6 +46,10 @@ class Plan:
     rules: tuple[Rule, ...] = ()
     config: Config = field(default_factory=Config)
     kinds: dict = field(default_factory=dict)
+    #: Conditions counted for a column: {column: {name: Condition or Predicate}}.
+    conditions: dict = field(default_factory=dict)
+    #: Custom states: {name: Metric of operators.custom}, applied to the columns whose rules name them.
+    custom: dict = field(default_factory=dict)
 
     def metrics_of(self, f: T.StructField) -> tuple[str, ...]:
         kind = self.kinds.get(f.name, declared_kind(f.dataType))
@@ -63,3 +68,25 @@ class Plan:
 
     def resolve(self, schema: T.StructType) -> dict[str, tuple[str, ...]]:
         return {f.name: self.metrics_of(f) for f in schema.fields}
+
+
+class Resolver:
+    """A choice of metrics in code: subclass and say which metrics a column of a kind gets."""
+
+    def resolve(self, name: str, kind: str, config: Config) -> tuple[str, ...]:
+        raise NotImplementedError
+
+
+class PresetResolver(Resolver):
+    def __init__(self, preset: str = "standard"):
+        self.preset = preset
+
+    def resolve(self, name, kind, config):
+        return PRESETS[self.preset][kind]
+
+
+def plan_of(resolver: Resolver, schema: T.StructType, config: Config | None = None) -> Plan:
+    """The plan of a resolver's choices for the columns of a schema."""
+    config = config or Config()
+    rules = tuple(Rule(tuple(resolver.resolve(f.name, declared_kind(f.dataType), config)), column=f.name) for f in schema.fields)
+    return Plan(rules=rules, config=config)

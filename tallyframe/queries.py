@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +14,12 @@ from .functions import predicates as P
 from .functions.types import KINDS, declared_kind
 from .functions.udfs import Registry
 from .operators import constraints as C
-from .operators import drift, performance, special, summary
-from .operators.profile import COUNTS, merge, profile, profile_many, profile_sets
-from .plans.resolve import Plan, Rule
-from .sources.requests import rows_of_requests
-from .streaming.rolling import rolling_profile
+from .operators import custom, drift, performance, special, summary
+from .operators.profile import COUNTS, merge, profile, profile_many, profile_sets, sub_metrics
+from .plans.resolve import Config, Plan, Rule
+from .sources.requests import envelope, rows_of_requests
+from .sources.store import ProfileStore, read_profile, writer
+from .streaming.rolling import RollingLogger, rolling_profile
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -39,7 +43,9 @@ def _long(c):
     return F.col(c).cast("long").alias(c)
 
 
+@_query()
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the default profile of all columns of lineitem."""
     return summary.summarize(profile(_t(spark, sf_dir, "lineitem"))).drop("frequent_items")
 
 
@@ -97,25 +103,38 @@ def quantiles_floor_rule(spark, d):
     return summary.exact_quantiles(_t(spark, d, "part"), "p_retailprice", summary.QUANTILES)
 
 
-@_query("SELECT 'l_extendedprice' AS \"column\", true AS ok")
-def quantiles_kll_ok(spark, d):
-    """Whether the sketch's quantiles lie within 1 % of rank of the exact ones."""
+@_query("WITH s AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) - 1 AS i, count(*) OVER () AS n FROM supplier) SELECT " + ", ".join(f"min(x) FILTER (WHERE i = least(CAST(floor({q}::DOUBLE * n) AS BIGINT), n - 1)) AS {n}" for n, q in summary.QUANTILES.items()) + " FROM s")
+def quantiles_kll(spark, d):
+    """Quantiles of the sketch, which holds all values while there are at most as many as its size."""
+    p = profile(_t(spark, d, "supplier"), Plan("histogram"), columns=["s_acctbal"])
+    return p.select(*[summary.quantile(q).alias(n) for n, q in summary.QUANTILES.items()])
+
+
+@_query("SELECT 'l_extendedprice' AS \"column\", " + ", ".join(f"(SELECT avg(CAST(l_extendedprice <= q AS INT)) FROM lineitem) BETWEEN {q} - 0.01 AND {q} + 0.01 AS {n}" for n, q in (("q_25", 0.25), ("q_75", 0.75))) + " FROM (SELECT quantile_disc(l_extendedprice, 0.25) AS q FROM lineitem) WHERE false UNION ALL SELECT 'l_extendedprice', (SELECT avg(CAST(l_extendedprice <= (SELECT quantile_disc(l_extendedprice, 0.25) FROM lineitem) AS INT)) FROM lineitem) BETWEEN 0.24 AND 0.26, (SELECT avg(CAST(l_extendedprice <= (SELECT quantile_disc(l_extendedprice, 0.75) FROM lineitem) AS INT)) FROM lineitem) BETWEEN 0.74 AND 0.76")
+def quantiles_kll_rank_error(spark, d):
+    """Whether the exact ranks of a large column's sketch quantiles lie within one hundredth."""
     df = _t(spark, d, "lineitem")
-    p = profile(df, Plan("histogram"), columns=["l_extendedprice"]).select("column", *[summary.quantile(q).alias(n) for n, q in summary.QUANTILES.items()])
+    p = profile(df, Plan("histogram"), columns=["l_extendedprice"]).select("column", summary.quantile(0.25).alias("a"), summary.quantile(0.75).alias("b"))
     x = F.col("l_extendedprice")
-    ranks = df.crossJoin(F.broadcast(p)).groupBy("column").agg(*[F.avg((x <= F.col(n)).cast("double")).alias(n) for n in summary.QUANTILES])  # p is one row
-    near = [F.abs(F.col(n) - q) < 0.01 for n, q in summary.QUANTILES.items()]
-    return ranks.select("column", F.forall(F.array(*near), lambda ok: ok).alias("ok"))
+    ranks = df.crossJoin(F.broadcast(p)).groupBy("column").agg(F.avg((x <= F.col("a")).cast("double")).alias("a"), F.avg((x <= F.col("b")).cast("double")).alias("b"))  # p is one row
+    return ranks.select("column", F.col("a").between(0.24, 0.26).alias("q_25"), F.col("b").between(0.74, 0.76).alias("q_75"))
+
+
+@_query("SELECT 'l_linenumber' AS \"column\", count(DISTINCT l_linenumber) AS est FROM lineitem UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem UNION ALL SELECT 'l_discount', count(DISTINCT l_discount) FROM lineitem")
+def cardinality_hll(spark, d):
+    """Distinct counts of the sketch, which are exact while there are few."""
+    df = _t(spark, d, "lineitem").select("l_linenumber", "l_returnflag", "l_linestatus", "l_discount")
+    return profile(df, Plan("no_items")).select("column", F.hll_sketch_estimate("hll").alias("est"))
 
 
-@_query("SELECT \"column\", true AS ok FROM (VALUES ('l_partkey'), ('l_suppkey'), ('l_returnflag')) t(\"column\")")
-def cardinality_hll_ok(spark, d):
-    """Whether the sketch's distinct counts lie within 5 % of the exact ones."""
-    df = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
-    exact = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns])
-    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in df.columns])))
-    p = profile(df, Plan("no_items")).select("column", F.hll_sketch_estimate("hll").alias("est"))
-    return p.join(exact, "column").select("column", (F.abs(F.col("est") - F.col("exact")) <= 0.05 * F.col("exact")).alias("ok"))
+@_query("SELECT n BETWEEN lo AND hi AS inside, n FROM (SELECT count(DISTINCT l_partkey) AS n, 0.95 * count(DISTINCT l_partkey) AS lo, 1.05 * count(DISTINCT l_partkey) AS hi FROM lineitem)")
+def cardinality_bounds(spark, d):
+    """Whether the exact distinct count of a large column lies within the sketch's bounds."""
+    df = _t(spark, d, "lineitem").select("l_partkey")
+    est, upper, lower = summary.cardinality(3)
+    p = profile(df, Plan("no_items")).select(est, upper, lower)
+    exact = df.agg(F.countDistinct("l_partkey").alias("n"))
+    return exact.crossJoin(p).select(F.col("n").between(F.col("card_lower"), F.col("card_upper")).alias("inside"), "n")  # one row each
 
 
 @_query("SELECT event_type AS value, count(*) AS est FROM events GROUP BY 1")
@@ -205,14 +224,45 @@ def multiple_frames(spark, d):
     return p.select("alias", "n", *_round("mean"))
 
 
-@_query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01' GROUP BY 1")
+def _folder(spark) -> str:
+    """A folder that all machines see; on one machine alone a temporary one."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="store")
+    return f"{root}/store-{uuid.uuid4().hex}"
+
+
+_STORED = [(1994, 12), (1995, 1), (1995, 2), (1996, 1)]
+
+
+@_query("SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS min, max(o_totalprice) AS max, 'first' AS source, 'b' AS extra FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1995-03-01'")
 def store_date_range(spark, d):
-    """Profiles by month of one year."""
+    """Profiles of four months are stored one by one, and those of a range of dates read again, merged, with their metadata."""
+    store, df = ProfileStore(spark, _folder(spark)), _t(spark, d, "orders")
+    for i, (year, month) in enumerate(_STORED):
+        own = df.where((F.year("o_orderdate") == year) & (F.month("o_orderdate") == month))
+        store.write(profile(own, Plan("limited"), columns=["o_totalprice"]), "orders", dt.date(year, month, 1), {"source": "first"} if i == 1 else {"source": "later", "extra": "b"})
+    of = ("orders", dt.date(1995, 1, 1), dt.date(1995, 12, 31))
+    meta = store.read_metadata(*of).select(F.col("metadata")["source"].alias("source"), F.col("metadata")["extra"].alias("extra"))
+    return store.read(*of).crossJoin(meta).select("n", *_round("mean"), "min", "max", "source", "extra")  # one row each
+
+
+@_query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01' GROUP BY 1")
+def profile_by_month(spark, d):
     df = _t(spark, d, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'")
     p = profile(df, Plan("limited"), {"month": F.date_trunc("month", "o_orderdate").cast("date")}, ["o_totalprice"])
     return p.select(F.col("month").cast("date").alias("month"), "n", *_round("mean"))
 
 
+@_query("SELECT c.column_name AS \"column\", c.n, c.missing FROM (SELECT 'c_custkey' AS column_name, count(*) AS n, count(*) - count(c_custkey) AS missing FROM customer UNION ALL SELECT 'c_name', count(*), count(*) - count(c_name) FROM customer UNION ALL SELECT 'c_nationkey', count(*), count(*) - count(c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', count(*), count(*) - count(c_acctbal) FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(*) - count(c_mktsegment) FROM customer) c")
+def written_profile(spark, d):
+    """A profile written by a registered writer and read again."""
+    path = writer("local", base_dir=_folder(spark)).option(compression="gzip").write(profile(_t(spark, d, "customer")), "customer")
+    return read_profile(spark, path).select("column", "n", F.col("null").alias("missing"))
+
+
 _CONDITIONS = {"starts_the": P.Predicate().matches("The"), "has_digit": P.Predicate().search("[0-9]"), "all_words": P.Predicate().fullmatch("(?s)[A-Za-z .,\\n]+"), "not_the": P.Predicate().matches("The").not_(), "either": P.Predicate().search("[0-9]").or_(P.Predicate().search("[#%]"))}
 
 
@@ -234,10 +284,14 @@ def validator_failures(spark, d):
     return P.failures(_t(spark, d, "documents"), "text", tests, "doc_id").select("condition", "total", "failed")
 
 
-@_query()
+@_query("SELECT 'no_symbols' AS condition, count(*) FILTER (WHERE regexp_matches(text, '[#$%]')) AS failed, count(*) FILTER (WHERE regexp_matches(text, '[#$%]')) > 0 AS sampled, 0::BIGINT AS wrong FROM documents")
 def validator_samples(spark, d):
-    """A sample id of what fails each condition."""
-    return P.failures(_t(spark, d, "documents"), "text", {"no_symbols": P.Predicate().search("[#$%]").not_()}, "doc_id")
+    """Sampled ids of what fails a condition: whether there are any, at most ten, and how many of them do not fail."""
+    docs = _t(spark, d, "documents")
+    out = P.failures(docs, "text", {"no_symbols": P.Predicate().search("[#$%]").not_()}, "doc_id")
+    ids = out.select(F.explode("samples").alias("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"))
+    wrong = docs.join(ids, "doc_id").agg(F.count_if(~F.col("text").rlike("[#$%]")).alias("wrong"))
+    return out.crossJoin(wrong).select("condition", "failed", F.size("samples").between(1, 10).alias("sampled"), "wrong")  # one row each
 
 
 def _order_constraints():
@@ -256,8 +310,8 @@ _O = "o_totalprice"
 @_query("WITH s AS (SELECT count(*) AS n, count(*) - count(o_totalprice) AS nulls, min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd, count(DISTINCT o_orderstatus) AS st FROM orders), r AS (" + _union(f"SELECT '{col} {name}' AS \"constraint\", '{col}' AS \"column\", ({test}) AS ok FROM s" for col, name, test in (
     (_O, "greater than number 1000", "lo > 1000"), (_O, "smaller than number 1000000000.0", "hi < 1e9"), (_O, "is non negative", "lo >= 0"), (_O, "is in range [0,1000000.0]", "lo >= 0 AND hi <= 1e6"), (_O, "mean between 0 and 1000000.0", "mean BETWEEN 0 AND 1e6"),
     (_O, "standard deviation between 1 and 2", "sd BETWEEN 1 AND 2"), (_O, "has no missing values", "nulls = 0"), (_O, "count below 10", "n <= 10"), (_O, "null values below 1", "nulls < 1"), (_O, "null percentage below 0.0", "nulls / n <= 0"), (_O, "is nullable fractional", "n > nulls"),
-    ("o_orderkey", "has values of [''integral'']", "n > 0"), ("o_orderkey", "has no values of [''string'', ''object'']", "true"), ("o_orderstatus", "distinct values between 1 and 5", "st BETWEEN 1 AND 5"),
-    ("o_orderstatus", "values in set", "NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus NOT IN (''F'', ''O'', ''P''))".replace("''", "'")), ("o_orderstatus", "1-most common items in set", "false"), (_O, "0.5-th quantile between 0 and 10000000.0", "true"), ("o_orderkey", "is probably unique", "true"),
+    ("o_orderkey", "has values of [''integral'']", "n > 0"), ("o_orderkey", "has no values of [''string'', ''object'']", "(SELECT count(*) FROM orders WHERE typeof(o_orderkey) NOT IN ('BIGINT')) = 0"), ("o_orderstatus", "distinct values between 1 and 5", "st BETWEEN 1 AND 5"),
+    ("o_orderstatus", "values in set", "NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus NOT IN (''F'', ''O'', ''P''))".replace("''", "'")), ("o_orderstatus", "1-most common items in set", "(SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) IN ('X')"), (_O, "0.5-th quantile between 0 and 10000000.0", "(SELECT quantile_disc(o_totalprice, 0.5) FROM orders) BETWEEN 0 AND 1e7"), ("o_orderkey", "is probably unique", "(SELECT count(DISTINCT o_orderkey) FROM orders) >= 0.98 * (SELECT count(o_orderkey) FROM orders)"),
 )) + ") SELECT \"constraint\", \"column\", CAST(ok AS INT) AS passed, 1 - CAST(ok AS INT) AS failed FROM r")
 def constraints_report(spark, d):
     p = profile(_t(spark, d, "orders"), columns=["o_totalprice", "o_orderkey", "o_orderstatus"])
@@ -271,9 +325,49 @@ def prefix_constraint(spark, d):
     return C.prefix_constraint(p, "and < / :o_totalprice:mean :o_totalprice:stddev 10 not < :o_totalprice:min 0")
 
 
-@_query()
+_KINDS_OF = {"c_custkey": "integral", "c_acctbal": "fractional", "c_mktsegment": "string"}
+_SUGGESTED = "WITH s AS (" + _union(f"SELECT '{c}' AS \"column\", count(*) AS n, count({c}) AS valid, count(DISTINCT {c}) AS est, {'NULL::DOUBLE' if k == 'string' else f'min({c})::DOUBLE'} AS lo, '{k}' AS kind, {k != 'fractional'} AS has_items FROM customer" for c, k in _KINDS_OF.items()) + "), r AS (SELECT *, est >= 0.96 * valid AND est <= 1.04 * valid AS uniq FROM s)"
+
+
+@_query(_SUGGESTED + " SELECT \"column\", 'is probably unique' AS suggestion FROM r WHERE uniq UNION ALL SELECT \"column\", 'has no missing values' FROM r WHERE n = valid UNION ALL SELECT \"column\", 'is non negative' FROM r WHERE lo >= 0 UNION ALL SELECT \"column\", 'is in range' FROM r WHERE est > 50 AND NOT uniq AND lo IS NOT NULL UNION ALL SELECT \"column\", 'values in set' FROM r WHERE est <= 50 AND est < 0.01 * valid AND has_items" + "".join(f" UNION ALL SELECT \"column\", 'has no {k}' FROM r WHERE kind <> '{k}'" for k in KINDS))
 def suggest_constraints(spark, d):
-    return C.suggest(profile(_t(spark, d, "orders")))
+    return C.suggest(profile(_t(spark, d, "customer"), columns=list(_KINDS_OF)))
+
+
+_ALPHA = {"o_orderstatus": {"f_or_o": P.Predicate().matches("[FO]"), "p": P.Condition(P.Predicate().equals("P"))}, "o_totalprice": {"large": P.Predicate().greater_than(200000.0), "any": P.Predicate().greater_or_equals(0)}}
+_ALPHA_SQL = "SELECT {by}'o_orderstatus' AS \"column\", 'f_or_o' AS condition, count(o_orderstatus) AS total, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS met FROM orders {g} UNION ALL SELECT {by}'o_orderstatus', 'p', count(o_orderstatus), count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders {g} UNION ALL SELECT {by}'o_totalprice', 'large', count(o_totalprice), count(*) FILTER (WHERE o_totalprice > 200000) FROM orders {g} UNION ALL SELECT {by}'o_totalprice', 'any', count(o_totalprice), count(*) FILTER (WHERE o_totalprice >= 0) FROM orders {g}"
+
+
+def _met(p, *keys):
+    return p.where("cond IS NOT NULL").select(*keys, "column", F.col("cond_total").alias("total"), F.explode("cond").alias("condition", "met")).select(*keys, "column", "condition", "total", "met")
+
+
+@_query(_ALPHA_SQL.format(by="o_orderpriority AS priority, ", g="GROUP BY o_orderpriority"))
+def condition_profile(spark, d):
+    """Conditions counted in a segmented profile."""
+    return _met(profile(_t(spark, d, "orders"), Plan("limited", conditions=_ALPHA), {"priority": F.col("o_orderpriority")}, list(_ALPHA)), "priority")
+
+
+@_query(_ALPHA_SQL.format(by="", g=""))
+def condition_merge(spark, d):
+    """Condition counts of segments merged; a part that counts other conditions is left out."""
+    df = _t(spark, d, "orders")
+    parts = profile(df, Plan("limited", conditions=_ALPHA), {"priority": F.col("o_orderpriority")}, list(_ALPHA)).drop("priority").withColumn("place", F.lit(0))
+    other = profile(df, Plan("limited", conditions={"o_orderstatus": {"p": P.Predicate().equals("P")}}), columns=["o_orderstatus"]).withColumn("place", F.lit(1))
+    return _met(merge(parts.unionByName(other), order="place"))
+
+
+@_query("WITH s AS (SELECT count(*) FILTER (WHERE o_totalprice >= 0) = count(o_totalprice) AS a, count(*) FILTER (WHERE o_orderstatus = 'P') = 0 AS b, count(*) FILTER (WHERE o_totalprice > 200000) <= 10 AS c, avg(o_totalprice) > 0 AS d, min(o_totalprice) >= 0 AND min(o_orderkey) >= 0 AS e, max(o_totalprice) < 100 AND max(o_orderkey) < 100 AS f FROM orders) SELECT t.c AS \"constraint\", t.col AS \"column\", CAST(t.ok AS INT) AS passed, 1 - CAST(t.ok AS INT) AS failed FROM s, LATERAL (VALUES ('o_totalprice meets condition any', 'o_totalprice', a), ('o_orderstatus never meets condition p', 'o_orderstatus', b), ('o_totalprice condition large count below 10', 'o_totalprice', c), ('mean by path', 'o_totalprice', d), ('both not negative', 'o_totalprice,o_orderkey', e), ('all small', 'all small', f), ('nobody', 'absent', true), ('mean against itself', 'o_totalprice', true), ('sum', NULL, d)) AS t(c, col, ok)")
+def condition_constraints(spark, d):
+    """Constraints on conditions, by predicates of paths, on several columns, chosen by a function, against a reference, over the whole."""
+    p = profile(_t(spark, d, "orders"), Plan(conditions=_ALPHA), columns=["o_totalprice", "o_orderkey", "o_orderstatus"])
+    built = C.ConstraintsBuilder(p).add_constraints([
+        C.condition_meets("o_totalprice", "any"), C.condition_never_meets("o_orderstatus", "p"), C.condition_count_below("o_totalprice", "large", 10),
+        C.Constraint("mean by path", "o_totalprice", P.require("distribution/mean").greater_than(0)), C.Constraint("both not negative", ("o_totalprice", "o_orderkey"), F.col("min") >= 0),
+        C.Constraint("all small", lambda c: c.isin("o_totalprice", "o_orderkey"), P.require("max").less_than(100)), C.Constraint("nobody", "absent", F.col("min") > 0, False),
+        C.ComparisonConstraint("mean against itself", "o_totalprice", F.col("t.mean") == F.col("r.mean")), C.DatasetConstraint("sum", "> * :o_totalprice:distribution/mean :o_totalprice:counts/n 0"),
+    ])
+    return built.build().report(p)
 
 
 def _years(spark, d):
@@ -299,15 +393,45 @@ def drift_hellinger(spark, d):
     return drift.hellinger(*_years(spark, d), "o_totalprice").select(*_round("distance", digits=6))
 
 
-@_query()
-def drift_p_values(spark, d):
-    """Statistics with p-values and categories."""
-    a, b = _years(spark, d)
-    n, m = a.count(), b.count()
-    ks = drift.ks_statistic(a, b, "o_totalprice").first()[0]
-    chi, dof = drift.chi_square(a, b, "o_orderpriority").first()
-    rows = [("o_totalprice", "ks", float(ks), drift.ks_p_value(spark, ks, n, m)), ("o_orderpriority", "chi-square", float(chi), drift.chi_square_p_value(spark, chi, dof))]
-    return spark.createDataFrame([(*r, drift.category(r[3])) for r in rows], "column string, algorithm string, statistic double, p_value double, category string")
+_CHI = "SELECT '{c}' AS \"column\", sum(CASE WHEN e = 0 THEN 'Infinity'::DOUBLE ELSE (t - e) * (t - e) / e END) AS x, greatest(count(*) - 1, 1) AS dof FROM (SELECT coalesce(a.n, 0) AS t, floor(coalesce(b.n, 0)::DOUBLE / (SELECT count(*) FROM orders WHERE year(o_orderdate) % 2 = 1) * (SELECT count(*) FROM orders WHERE year(o_orderdate) % 2 = 0)) AS e FROM (SELECT {c} AS v, count(*) AS n FROM orders WHERE year(o_orderdate) % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT {c} AS v, count(*) AS n FROM orders WHERE year(o_orderdate) % 2 = 1 GROUP BY 1) b ON a.v = b.v)"
+
+
+@_query("WITH chi AS (" + _CHI.format(c="o_orderstatus") + " UNION ALL " + _CHI.format(c="o_orderpriority") + "), p AS (SELECT *, CASE WHEN isinf(x) THEN 0 WHEN dof = 2 THEN exp(-x / 2) WHEN dof = 4 THEN exp(-x / 2) * (1 + x / 2) END AS p FROM chi), " + _TR.format(c=_O) + ", a AS (SELECT x, 1 AS t, 0 AS r FROM t UNION ALL SELECT x, 0, 1 FROM r), g AS (SELECT x, sum(t) AS t, sum(r) AS r FROM a GROUP BY x), c AS (SELECT sum(t) OVER (ORDER BY x) / (SELECT count(*) FROM t) AS ft, sum(r) OVER (ORDER BY x) / (SELECT count(*) FROM r) AS fr FROM g), ks AS (SELECT max(abs(ft - fr)) * sqrt((SELECT count(*) FROM t)::DOUBLE * (SELECT count(*) FROM r) / (SELECT count(*) FROM orders)) AS z FROM c), k AS (SELECT least(1, 2 * (exp(-2 * z * z) - exp(-8 * z * z) + exp(-18 * z * z))) AS p FROM ks) SELECT \"column\", 'chi-square' AS algorithm, round(x, 6) AS statistic, dof, round(p, 6) AS p_value, CASE WHEN p <= 0.05 THEN 'DRIFT' WHEN p <= 0.15 THEN 'POSSIBLE_DRIFT' ELSE 'NO_DRIFT' END AS category FROM p UNION ALL SELECT 'o_totalprice', 'ks', NULL, NULL, NULL, CASE WHEN p <= 0.05 THEN 'DRIFT' WHEN p <= 0.15 THEN 'POSSIBLE_DRIFT' ELSE 'NO_DRIFT' END FROM k")
+def drift_all_columns(spark, d):
+    """Drift of all columns of two profiles: the algorithm each gets, p-values of counts, and categories."""
+    a, b = (profile(df, columns=["o_totalprice", "o_orderstatus", "o_orderpriority"]) for df in _years(spark, d))
+    exact = F.col("algorithm") == "chi-square"
+    return drift.drift_scores(a, b).select("column", "algorithm", *[F.when(exact, F.round(c, 6)).alias(c) for c in ("statistic",)], F.col("dof").cast("long").alias("dof"), F.when(exact, F.round("p_value", 6)).alias("p_value"), "category")
+
+
+@_query("SELECT round(avg(CAST(s_acctbal < 0 AS INT)), 6) AS below_zero, round(avg(CAST(s_acctbal < 5000 AS INT)), 6) AS below_5000, round(avg(CAST(s_acctbal >= 0 AND s_acctbal < 5000 AS INT)), 6) AS between_both FROM supplier")
+def sketch_cdf(spark, d):
+    """Distribution function and shares between points, from a sketch."""
+    p = profile(_t(spark, d, "supplier"), Plan("histogram"), columns=["s_acctbal"])
+    points = [0.0, 5000.0]
+    return p.select(F.round(summary.cdf(points)[0], 6).alias("below_zero"), F.round(summary.cdf(points)[1], 6).alias("below_5000"), F.round(summary.pmf(points)[1], 6).alias("between_both"))
+
+
+@_query("WITH v AS (SELECT s_acctbal AS x FROM supplier), " + _BINS.format(t="v") + ", c AS (SELECT CAST(least(floor((x - lo) / width), k - 1) AS INT) AS bin, count(*) AS n FROM v, w GROUP BY 1), e AS (SELECT CAST(range AS INT) AS bin FROM w, range(30) WHERE range < k) SELECT e.bin AS bin, coalesce(c.n, 0) AS count FROM e LEFT JOIN c ON c.bin = e.bin")
+def sketch_histogram(spark, d):
+    """The bins of a sketch that holds all values."""
+    p = summary.sketch_histogram(profile(_t(spark, d, "supplier"), Plan("histogram"), columns=["s_acctbal"]))
+    return p.select(F.posexplode("counts").alias("bin", "count"))
+
+
+@_query("SELECT 's_acctbal' AS \"column\", count(*) AS total, count(*) - count(s_acctbal) AS missing, max(s_acctbal) - min(s_acctbal) AS range, false AS only_null FROM supplier UNION ALL SELECT 's_suppkey', count(*), count(*) - count(s_suppkey), max(s_suppkey) - min(s_suppkey), false FROM supplier")
+def feature_statistics(spark, d):
+    p = profile(_t(spark, d, "supplier"), columns=["s_acctbal", "s_suppkey"])
+    return summary.feature_statistics(p).select("column", "total", "missing", "range", "only_null")
+
+
+@_query("SELECT count(*) AS observations, round(avg(s_acctbal), 4) AS mean, 'chi-square' AS name_algorithm FROM supplier")
+def profile_json(spark, d):
+    """The JSON report of a profile against itself, read again."""
+    p = profile(_t(spark, d, "supplier"))
+    j = lambda path: F.get_json_object("profile", path)
+    column = lambda name, path: F.get_json_object(j(f"$.columns.{name}"), path)
+    return summary.to_json(p, p).select(j("$.properties.observations").cast("long").alias("observations"), F.round(column("s_acctbal", "$.mean").cast("double"), 4).alias("mean"), column("s_name", "$.drift_from_ref.algorithm").alias("name_algorithm"))
 
 
 def _predicted(spark, d):
@@ -337,6 +461,20 @@ def ranking_metrics(spark, d):
     return performance.ranking_from_relevance(lists, "rel", 5).select("user_id", "precision", "recall", "reciprocal_rank", *_round("ndcg", digits=6), "sum_gain")
 
 
+@_query(f"WITH p AS {_PRED}, l AS (SELECT DISTINCT CAST(unnest([prediction, quality]) AS VARCHAR) AS label FROM p) SELECT label, (SELECT count(*) FROM p WHERE CAST(prediction AS VARCHAR) = label AND prediction = quality) AS tp, (SELECT count(*) FROM p WHERE CAST(prediction AS VARCHAR) = label AND prediction <> quality) AS fp, (SELECT count(*) FROM p WHERE CAST(quality AS VARCHAR) = label AND prediction <> quality) AS fn FROM l")
+def classification_counts(spark, d):
+    out = performance.classification_counts(performance.confusion_matrix(_predicted(spark, d), "prediction", "quality"))
+    return out.select("label", _long("tp"), _long("fp"), _long("fn"))
+
+
+@_query("WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS i, event_type = 'purchase' AS rel FROM events) SELECT user_id, count(*) FILTER (WHERE rel AND i <= 5) / 5 AS precision, min(i) FILTER (WHERE rel) AS top_rank FROM t GROUP BY user_id")
+def ranking_by_scores(spark, d):
+    """Each user's events ranked by value, ties in order of events; purchases are relevant."""
+    ev = F.array_sort(F.collect_list(F.struct("event_id", "value", (F.col("event_type") == "purchase").cast("int").alias("rel"))))
+    lists = _t(spark, d, "events").groupBy("user_id").agg(ev.alias("e")).select("user_id", F.transform("e", lambda e: e["value"]).alias("s"), F.transform("e", lambda e: e["rel"]).alias("rel"))
+    return performance.ranking_from_scores(lists, "s", "rel", 5).select("user_id", "precision", _long("top_rank"))
+
+
 @_query(f"WITH p AS {_PRED}, a AS (SELECT lang, avg(CASE WHEN prediction = quality THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY lang), s AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT round(sum(acc * coalesce(n, 0)) / sum(coalesce(n, 0)), 6) AS accuracy FROM a LEFT JOIN s USING (lang)")
 def accuracy_estimation(spark, d):
     return performance.estimate_accuracy(_predicted(spark, d), _t(spark, d, "documents"), "lang", "prediction", "quality").select(*_round("accuracy", digits=6))
@@ -359,6 +497,51 @@ def unicode_ranges(spark, d):
     return x.agg(*[F.round(F.avg(f"`{c}`"), 4).alias(c.replace("-", "_")) for c in ("digits", "latin-lower", "latin-upper", "string_length")])
 
 
+_RANGES = {"digits": "[^0-9]", "latin-lower": "[^a-z]", "string_length": ""}
+
+
+@_query(_union(f"SELECT 'text/unicode_range.{n}' AS \"column\", count(*) AS n, round(avg(x), 4) AS mean, min(x)::DOUBLE AS min, max(x)::DOUBLE AS max FROM (SELECT " + (f"length(regexp_replace(lower(text), '{q}', '', 'g'))" if q else "length(text)") + " AS x FROM documents)" for n, q in _RANGES.items()))
+def unicode_sub_metrics(spark, d):
+    """Unicode ranges as sub-metrics of a profile."""
+    p = profile(_t(spark, d, "documents"), Plan(config=Config(track_unicode=True)), columns=["text"])
+    return p.where(F.col("column").isin([f"text/unicode_range.{n}" for n in _RANGES])).select("column", "n", *_round("mean"), "min", "max")
+
+
+@_query("SELECT 'p_name' AS parent, 'udf' AS namespace, 'length' AS sub, count(*) AS n, round(avg(length(p_name)), 4) AS mean FROM part UNION ALL SELECT 'p_retailprice', 'udf', 'cents', count(*), round(avg(p_retailprice * 100), 4) FROM part UNION ALL SELECT 'checked', NULL, NULL, count(*), round(avg(CASE WHEN p_size <> 7 THEN 1.0 / (p_size - 7) END), 4) FROM part")
+def metric_udfs(spark, d):
+    """Functions of values profiled as sub-metrics, and a Python function that fails for some values."""
+    r = Registry()
+    r.metric_udf("length", column="p_name")(lambda c: F.length(c))
+    r.metric_udf("cents", kind="fractional")(lambda c: c * 100)
+    r.python_udf(["p_size"], "checked")(lambda x: 1.0 / (x - 7))
+    p = sub_metrics(r.profile(_t(spark, d, "part"), Plan("limited"), columns=["p_name/udf.length", "p_retailprice/udf.cents", "checked"]))
+    return p.select("parent", "namespace", "sub", "n", *_round("mean"))
+
+
+@_query("SELECT 'o_totalprice' AS \"column\", round(sqrt(sum(o_totalprice * o_totalprice) / count(*)), 2) AS rms, max(o_totalprice) AS top FROM orders")
+def custom_metrics(spark, d):
+    """Metrics of one's own: aggregated by segment, merged, summarised."""
+    own = {"squares": custom.Metric(lambda c: F.sum(c * c)), "top": custom.Metric(F.max, custom.MERGE_MAX)}
+    plan = Plan(rules=(Rule(("counts", "squares", "top"), column="o_totalprice"),), custom=own)
+    parts = profile(_t(spark, d, "orders"), plan, {"priority": F.col("o_orderpriority")}, ["o_totalprice"]).drop("priority")
+    p = merge(parts, custom=own)
+    squares, top = custom.summaries(own)
+    return p.select("column", "n", squares, top).select("column", F.round(F.sqrt(F.col("squares") / F.col("n")), 2).alias("rms"), "top")
+
+
+@_query(r"WITH t AS (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations) SELECT count(*) AS n, round(avg(len(w)), 4) AS doc_length, round(avg(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) END), 4) AS term_length FROM t")
+def document_lengths(spark, d):
+    p = special.text_profile(_t(spark, d, "conversations"), "text", plan=Plan("limited"))
+    mean = lambda name: F.round(F.max(F.when(F.col("column") == f"text/bag_of_words.{name}", F.col("mean"))), 4).alias(name)
+    return p.agg(F.max("n").alias("n"), mean("doc_length"), mean("term_length"))
+
+
+@_query("SELECT CAST(label AS VARCHAR) AS label, round(avg(embedding[1]), 4) AS first, round(avg(embedding[64]), 4) AS last FROM embeddings GROUP BY label")
+def class_centroids(spark, d):
+    found = special.class_centroids(_t(spark, d, "embeddings"), "embedding", "label")
+    return spark.createDataFrame([(k, round(v[0], 4), round(v[63], 4)) for k, v in found.items()], "label string, first double, last double")
+
+
 @_query("SELECT vec_id, round(list_distance(embedding::DOUBLE[], list_transform(range(64), lambda x: 0.1::DOUBLE)), 4) AS a_distance, CASE WHEN list_distance(embedding::DOUBLE[], list_transform(range(64), lambda x: 0.1::DOUBLE)) <= list_distance(embedding::DOUBLE[], list_transform(range(64), lambda x: -0.1::DOUBLE)) THEN 'a' ELSE 'b' END AS closest FROM embeddings")
 def embedding_closest(spark, d):
     out = special.embedding_distances(_t(spark, d, "embeddings"), "embedding", {"a": [0.1] * 64, "b": [-0.1] * 64})
@@ -393,6 +576,28 @@ def json_requests(spark, d):
     return profile(rows, Plan("limited"), columns=["k"]).select("n", *_round("mean"))
 
 
+@_query("SELECT count(*) AS n, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 4) AS mean FROM events")
+def envelope_requests(spark, d):
+    """The same requests in base64 inside a message's envelope."""
+    k = F.get_json_object("props", "$.k")
+    body = F.to_json(F.struct(F.lit("e").alias("datasetId"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.struct(F.array(F.lit("k")).alias("columns"), F.array(F.array(k)).alias("data")).alias("multiple")))
+    message = F.to_json(F.struct(F.struct(F.base64(body.cast("binary")).alias("data")).alias("message")))
+    rows = rows_of_requests(_t(spark, d, "events"), envelope(message), {"k": "double"})
+    return profile(rows, Plan("limited"), columns=["k"]).select("n", *_round("mean"))
+
+
+@_query("SELECT date_trunc('day', ts) AS bucket, event_type, count(*) AS n, round(avg(value), 1) AS mean FROM events GROUP BY 1, 2")
+def stream_profile(spark, d):
+    """Profiles by day and event type of a stream that really runs, each trigger's result written by a callback."""
+    schema, folder = _t(spark, d, "events").schema, _folder(spark)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d)
+    take = lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out")
+    logger = RollingLogger(stream, "ts", "1 day", f"{folder}/checkpoint", take, plan=Plan("limited"), by=["event_type"], columns=["value"])
+    logger.query.awaitTermination()
+    out = spark.read.parquet(f"{folder}/out").groupBy("bucket", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("mean", "batch").alias("mean"))
+    return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", *_round("mean", digits=1))
+
+
 @_query("SELECT max(n) AS observations, CAST(sum(nulls) AS BIGINT) AS missing_cells FROM (SELECT count(*) AS n, count(*) - count(c_name) AS nulls FROM customer)")
 def overall_statistics(spark, d):
     return summary.overall(profile(_t(spark, d, "customer"), Plan("limited"))).select("observations", _long("missing_cells"))
