@@ -182,26 +182,6 @@ def test_lm_beats_base_on_held_out(spark):
     assert r[1] > r[0] and r[2] == 10 * sum(i % 7 != 2 for i in range(60))
 
 
-def test_lm_probabilities_add_up_to_at_most_one(spark):
-    from pyspark.sql import functions as F
-
-    known, unseen = ["a", "b", "c", "d"], [f"new{i}" for i in range(40)]
-    rows = [(i, t) for i, t in enumerate(["a b c", "a b d", "a c", "b"])] + [(100 + i, t) for i, t in enumerate([*known, *unseen, ""])]
-    out = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
-    # each first word's text is scored as the word and the end: brute force of the same model
-    tokens, heads = [*"abc", "", *"abd", "", *"ac", "", "b", ""], ["", *"abc", "", *"abd", "", *"ac", "", "b"]
-    count, pairs = Counter(tokens), Counter(zip(heads, tokens))
-    ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
-    off = ones / (ones + 2 * twos)
-    even = off * len(count) / len(tokens) / (len(known) + len(unseen) + 2)
-    single = lambda w: max(count[w] - off, 0) / len(tokens) + even
-    p = lambda v, w: 0.3 * pairs[v, w] / count[v] + 0.7 * single(w) if count[v] else single(w)
-    for i, w in enumerate([*known, *unseen]):
-        assert out[100 + i] == pytest.approx(np.log10(p("", w)) + np.log10(p(w, "")), abs=0.001)
-    firsts = [10 ** (out[100 + i]) / p(w, "") for i, w in enumerate([*known, *unseen])] + [10 ** out[100 + len(known) + len(unseen)]]
-    assert 0.9 < sum(firsts) <= 1
-
-
 def test_classifier(docs, spark):
     labels = spark.createDataFrame([(0, 0), (1, 0), (7, 1), (8, 1), (10, 1), (3, None), (None, 1)], "doc_id long, quality int")
     got = quality_classifier.classify(docs, labels).collect()
