@@ -3,7 +3,7 @@
 A logistic model of a document's form gives evidence for each document. The evidence (for labelled rows the
 label) is summed by host and by path in grouped aggregations; each host's rate is shrunk towards the global
 one and each path's towards its host's, as far as the rates' own spread says (moment estimates of Beta
-priors), and the path's posterior shifts the document's log odds.
+priors), and the path's posterior, without the document's own part of it, shifts the document's log odds.
 
 Here the table has no address, so a document's source is its host and (source, language) its path.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, chunks, read
 from .quality_rules import base_counts
 
-#: Labelled rows, chosen by a hash of their id, that the logistic model is fitted on.
+#: Labelled rows, about, that the logistic model is fitted on: a random sample.
 FIT_ROWS = 20_000
 _CLASS = np.zeros(256, np.int64)
 for _name, _i in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2), (b".,;:!?\"'()-", 3), (b"|", 4), (b"#*$%&<>", 5), (b"\n", 6), (b"!", 7)):
@@ -81,7 +81,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     features = checkpoint(given.mapInArrow(_features, f"doc_id {id_type}, host string, lang string, x array<double>"))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     joined = checkpoint(features.join(known, "doc_id", "left"))
-    sample = joined.where("label is not null").orderBy(F.xxhash64("doc_id", F.lit(7)), "x").limit(fit_rows).select("x", "label").toPandas()
+    labelled = joined.where("label IS NOT NULL")
+    share = min(1.0, fit_rows / max(1, labelled.count()))
+    sample = labelled.select("x", "label").sample(share, seed=7).limit(2 * fit_rows).toPandas()  # about fit_rows; the limit bounds what reaches the driver
     if sample["label"].nunique() > 1:
         weights, intercept = fit(np.array(sample["x"].tolist()), sample["label"].to_numpy())
     else:
@@ -97,15 +99,25 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     total = paths.agg((F.sum("good") / F.sum("n")).alias("mean"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).crossJoin(total)  # one row
     strength = hosts.agg(_spread(hosts, F.col("good") / F.col("n"), F.col("mean")).alias("k"))
-    hosts = hosts.crossJoin(strength).select("host", "mean", ((F.col("k") * F.col("mean") + F.col("good")) / (F.col("k") + F.col("n"))).alias("host_rate"))
+    hosts = hosts.crossJoin(strength).select("host", "mean", F.col("k").alias("host_k"), F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("k") * F.col("mean") + F.col("good")) / (F.col("k") + F.col("n"))).alias("whole_rate"))
     nested = paths.join(hosts, "host")
-    strength = nested.agg(_spread(nested, F.col("good") / F.col("n"), F.col("host_rate")).alias("k"))
-    nested = nested.crossJoin(strength).select("host", "lang", "mean", "host_rate", ((F.col("k") * F.col("host_rate") + F.col("good")) / (F.col("k") + F.col("n"))).alias("path_rate"))
-    out = rows.join(nested, ["host", "lang"])
+    strength = nested.agg(_spread(nested, F.col("good") / F.col("n"), F.col("whole_rate")).alias("k"))
+    nested = nested.crossJoin(strength.withColumnRenamed("k", "path_k"))
+    # a document does not testify for itself: its own value is taken out of its host's and its path's sums
+    own = F.coalesce("label", "evidence")
+    out = rows.join(_small(nested), ["host", "lang"])
+    host_rate = (F.col("host_k") * F.col("mean") + F.col("host_good") - own) / (F.col("host_k") + F.col("host_n") - 1)
+    out = out.withColumn("host_rate", host_rate)
+    out = out.withColumn("path_rate", (F.col("path_k") * F.col("host_rate") + F.col("good") - own) / (F.col("path_k") + F.col("n") - 1))
     score = 1 / (1 + F.exp(-(F.col("logit") + _logit(F.col("path_rate")) - _logit(F.col("mean")))))
     return out.select("doc_id", "host", "lang", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= threshold).alias("kept"))
 
 
+def _small(paths: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table with a row for each path: broadcast, so that a hot host is no hot key, while it has at most `limit` rows."""
+    return F.broadcast(paths) if paths.count() <= limit else paths
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), F.round("score", 6).alias("score"), "kept")
