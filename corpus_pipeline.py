@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return
-the columns of `documents`.
+the columns of `documents`, and those of other names that the table may have.
+
+Defined results: null and empty texts fail the base rules and go in the first stage; a null id, source or language is
+kept; of repeated rows and near copies the row of the smallest id stays; a text of any length is one document; an empty
+table gives no rows, from each stage and from all.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id."""
+    """One document of each group of near-duplicates: the one of the smallest id, rows without id last."""
     return simhash.dedup(docs)
 
 
@@ -41,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("decontamination", benchmark), ("pii", personal_data), ("packing", pack)]
 
-#: SQL can express none of the graph, model and packing stages; the README says what tests compare.
+#: SQL cannot express the models, fingerprints and packing; tests/llm/test_pipeline.py compares the stages with plain code.
 ORACLE_SQL = None
 
 
