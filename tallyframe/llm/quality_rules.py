@@ -12,7 +12,7 @@ is the language's median plus or minus `width` robust deviations of one word ove
 Characters rather than words: README has the figures of both.
 
 Defined results: null or empty text has no words and fails the base rules; a null language counts as "und"; where the
-other half of a language has no text, the base rules alone decide; repeated rows keep their rows; other columns of the
+other half of a language has no text, or a language too few for a band, the base rules alone decide; repeated rows keep their rows; other columns of the
 input are ignored; an empty table gives no rows.
 """
 
@@ -262,11 +262,12 @@ def _small(languages: DataFrame, limit: int = 100_000) -> DataFrame:
 class Rules:
     """The models and the bands learnt from all of `docs`; `verdicts` applies them.
 
-    width: robust deviations from the median to a band's edge. floor: least robust deviation of a word. model_rows:
+    width: robust deviations from the median to a band's edge. floor: least robust deviation of a word. min_docs:
+    a language of fewer scored texts has no band. model_rows:
     rows of models that the driver and a worker hold at once; one language's models are never parted.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat: float = 0.2, width: float = 4.5, floor: float = 0.02, model_rows: int = MODEL_ROWS):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat: float = 0.2, width: float = 4.5, floor: float = 0.02, min_docs: int = 50, model_rows: int = MODEL_ROWS):
         self.columns, self.min_words, self.max_repeat, self.width = (id_col, text_col, lang_col), min_words, max_repeat, width
         spark = docs.sparkSession
         taught = docs.select(self._model(F.col(lang_col), F.col(text_col), 0).alias("model"), F.col(text_col).alias("text"))
@@ -282,7 +283,7 @@ class Rules:
         self.scored = checkpoint(self._scored(docs, False))
         known = self.scored.where("perplexity IS NOT NULL").select("lang", "perplexity", "n_words")
         quartiles = lambda x, q: F.percentile(F.round(x, 4), F.lit(q))
-        middle = checkpoint(known.groupBy("lang").agg(quartiles(F.col("perplexity"), [0.5])[0].alias("middle")))
+        middle = checkpoint(known.groupBy("lang").agg(quartiles(F.col("perplexity"), [0.5])[0].alias("middle"), F.count("*").alias("texts")).where(F.col("texts") >= min_docs).drop("texts"))
         off = (F.col("perplexity") - F.col("middle")) * F.sqrt("n_words")
         spread = known.join(_small(middle), "lang").groupBy("lang", "middle").agg(quartiles(off, [0.25, 0.75]).alias("q"))
         self.bands = checkpoint(spread.select(F.col("lang").alias("band_lang"), "middle", F.greatest(F.lit(floor), (F.col("q")[1] - F.col("q")[0]) / 1.349).alias("spread")))
