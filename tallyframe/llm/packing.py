@@ -61,7 +61,7 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.dtype = _id_type(self.size)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -365,15 +365,36 @@ _encoders: dict[str, _Encoder] = {}
 _ENCODED = "ids binary, n_ids int, leaf long, first long, second long, held array<struct<token:int,n:bigint>>"
 
 
+def _id_type(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
+
+
+def _encode_sample(path: str):
+    """(ids, size): the ids of each text, and how many tokens the vocabulary has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            encoder = _encoder(path)
+            for lo, hi, _, _ in chunks(batch.column(0), ENCODE_BYTES):
+                ids = encoder.encode(batch.column(0).slice(lo, hi - lo))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([encoder.size] * len(ids), pa.int32())], names=["ids", "size"])
+
+    return run
+
+
 def _encode(path: str, end_id: int, tree):
     """(doc_id, ids, n_ids, leaf, first, second) of each document; and in a task's last row how many documents hold each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        if path not in _encoders:
-            _encoders.clear()
-            _encoders[path] = _Encoder(path)
-        encoder = _encoders[path]
+        encoder = _encoder(path)
         df, held_type = np.zeros(max(encoder.size, end_id + 1), np.int64), pa.list_(pa.struct([("token", pa.int32()), ("n", pa.int64())]))
         names, id_type = ["doc_id", "ids", "n_ids", "leaf", "first", "second", "held"], pa.int64()
         for batch in batches:
@@ -445,18 +466,20 @@ class _Laid:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, end_id: int, part_ids: int):
         spark, path = docs.sparkSession, vocabulary or default_vocabulary()
-        encoder = _Encoder(path)
-        self.dtype, self.id_type = encoder.dtype.str, docs.schema[id_col].dataType.simpleString()
+        self.id_type = docs.schema[id_col].dataType.simpleString()
         given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         share = min(1.0, FIT_DOCS / max(1, docs.count()))
-        sample = given.sample(share, seed=7).select(F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, FIT_CHARS)).toPandas().iloc[:, 0].tolist()
-        sample = [x for i in range(0, len(sample), 256) for x in encoder.encode(pa.array(sample[i : i + 256], pa.string()))[0]]
-        tree = spark.sparkContext.broadcast(_Tree(sample, max(encoder.size, end_id + 1)))  # 4096 numbers for each of its nodes
+        drawn = given.sample(share, seed=7).select(F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, FIT_CHARS).alias("text"))
+        # about FIT_DOCS rows; the first row's size tells how many tokens the vocabulary has
+        drawn = drawn.mapInArrow(_encode_sample(path), "ids binary, size int").limit(2 * FIT_DOCS).toArrow()
+        size = max([0, *drawn.column("size").to_pylist()])
+        self.dtype, size = _id_type(size).str, max(size, end_id + 1)
+        tree = spark.sparkContext.broadcast(_Tree([np.frombuffer(x, self.dtype) for x in drawn.column("ids").to_pylist()], size))  # 4096 numbers for each of its nodes
         folder = f"{shared_folder(spark)}/packing-{uuid.uuid4().hex}"
         given.mapInArrow(_encode(path, end_id, tree), f"doc_id {self.id_type}, {_ENCODED}").write.option("compression", "zstd").parquet(folder)
         written = spark.read.parquet(folder)
         n, total = written.where("ids IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
-        df = np.zeros(max(encoder.size, end_id + 1))
+        df = np.zeros(max(size, end_id + 1))
         # as many rows as the vocabulary has tokens
         for token, count in written.where("held IS NOT NULL").select(F.inline("held")).groupBy("token").agg(F.sum("n")).collect():
             df[token] = count

@@ -276,10 +276,12 @@ class Rules:
         self.passes = max(1, math.ceil(model.count() / model_rows))
         self.parts = []
         for i in range(self.passes):
-            part = model.where(self._pass(F.col("language")) == i).select("name", "kind", "key", "value").toPandas()
-            hashes = _hash(part["name"].to_numpy(np.int64).view(np.uint64), part["kind"].to_numpy(), part["key"].to_numpy(np.int64))
+            part = model.where(self._pass(F.col("language")) == i).select("name", "kind", "key", F.col("value").cast("float").alias("value")).toArrow()
+            name, kind, key, value = (part.column(c).to_numpy() for c in part.column_names)
+            hashes = _hash(name.view(np.uint64), kind, key)
             order = np.argsort(hashes)
-            self.parts.append(spark.sparkContext.broadcast((hashes[order], part["value"].to_numpy(np.float32)[order])))
+            self.parts.append(spark.sparkContext.broadcast((hashes[order], value[order].astype(np.float32))))
+            del part, name, kind, key, value, hashes, order
         self.scored = checkpoint(self._scored(docs, False))
         known = self.scored.where("perplexity IS NOT NULL").select("lang", "perplexity", "n_words")
         quartiles = lambda x, q: F.percentile(F.round(x, 4), F.lit(q))
