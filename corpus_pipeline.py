@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import decontaminate, packing, pii, quality_rules, simhash
-from tallyframe.llm.common import ensure_checkpoint_dir, read
+from tallyframe.llm.common import ensure_checkpoint_dir, read, release_memory
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release_memory()
     return docs

@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +42,7 @@ class Registry:
         """A plain Python function of values as a derived column, in Arrow batches; where it raises, the value is null and the error is logged."""
 
         def add(fn):
-            self._single[name] = (columns, guarded(fn, returns, name))
+            self._single[name] = (columns, lambda *c: guarded(fn, returns, name)(*c))
             return fn
 
         return add
@@ -98,7 +97,9 @@ class Registry:
 def guarded(fn: Callable, returns: str, name: str) -> Callable:
     """A function of Columns that calls fn value by value; a value that makes it raise gives null."""
 
-    def batch(*series: pd.Series) -> pd.Series:
+    import pandas as pd
+
+    def batch(*series):
         def one(*values):
             try:
                 return fn(*values)
@@ -108,6 +109,7 @@ def guarded(fn: Callable, returns: str, name: str) -> Callable:
 
         return pd.Series([one(*v) for v in zip(*series)], dtype=object)
 
+    batch.__annotations__ = {"series": pd.Series, "return": pd.Series}
     return F.pandas_udf(batch, returns)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,8 +212,9 @@ def drift_scores(target: DataFrame, reference: DataFrame, algorithms: dict[str,
 
 def _p_values(algorithm: Column, statistic: Column, dof: Column, size: Column) -> Column:
     """p-values of a row for each column of a profile."""
-    @F.pandas_udf("double")
-    def values(a: pd.Series, s: pd.Series, k: pd.Series, n: pd.Series) -> pd.Series:
+    import pandas as pd
+
+    def values(a, s, k, n):
         def one(a, s, k, n):
             if s is None or s != s:
                 return None
@@ -222,7 +222,8 @@ def _p_values(algorithm: Column, statistic: Column, dof: Column, size: Column) -
 
         return pd.Series([one(*x) for x in zip(a, s, k, n)], dtype="float64")
 
-    return values(algorithm, statistic, dof, size)
+    values.__annotations__ = {**dict.fromkeys("askn", pd.Series), "return": pd.Series}
+    return F.pandas_udf(values, "double")(algorithm, statistic, dof, size)
 
 
 #: The older name.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +16,13 @@ def nfd(c: Column) -> Column:
     """Canonical decomposition; SQL has no function for it."""
     import unicodedata
 
-    @F.pandas_udf("string")
-    def decompose(s: pd.Series) -> pd.Series:
+    import pandas as pd
+
+    def decompose(s):
         return s.map(lambda x: unicodedata.normalize("NFD", x), na_action="ignore")
 
-    return decompose(c)
+    decompose.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(decompose, "string")(c)
 
 
 def unicode_columns(text: Column, ranges: dict = UNICODE_RANGES, lower: bool = True, normalize: bool = False) -> dict[str, Column]:
