@@ -206,9 +206,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lear
     """One row per input row: doc_id, text_hash, spans of each base kind (at_<kind>) and all spans, by start and kind."""
     given = _with_base(docs, id_col, text_col)
     more = discovered(given, **learning)
-    out = given.drop("text").alias("g").join(more.alias("m"), F.expr("g.doc_id <=> m.doc_id AND g.text_hash = m.text_hash"), "left")
+    more = more.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "more")
+    out = given.drop("text").join(more, F.expr("doc_id <=> found_id AND text_hash = found_hash"), "left")
     every = F.array_sort(F.concat(*[F.col(f"at_{k}") for k in KINDS], F.coalesce("more", F.array().cast(SPAN))))
-    return out.select("g.doc_id", "g.text_hash", *[f"at_{k}" for k in KINDS], every.alias("spans"))
+    return out.select("doc_id", "text_hash", *[f"at_{k}" for k in KINDS], every.alias("spans"))
 
 
 def _written(spans: Column) -> Column:
