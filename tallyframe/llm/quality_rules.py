@@ -172,7 +172,7 @@ def kneser_ney(trigrams: DataFrame) -> DataFrame:
 
 def _hash(model: np.ndarray, kind, keys: np.ndarray) -> np.ndarray:
     """model: hashes of models' names."""
-    return mix(mix(keys.astype(np.uint64) ^ model) + (np.asarray(kind).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(mix(keys.astype(np.uint64) ^ model) + (np.atleast_1d(kind).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class _Model:
