@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.types import as_number
 from .profile import STATES
 
 QUANTILES = {"q_01": 0.01, "q_05": 0.05, "q_10": 0.1, "q_25": 0.25, "median": 0.5, "q_75": 0.75, "q_90": 0.9, "q_95": 0.95, "q_99": 0.99}
@@ -74,6 +75,35 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float],
     return placed.agg(*out)
 
 
+#: How far from a quantile's rank its neighbours are asked from a sketch: above the error of a sketch of the default size.
+SLACK = 0.005
+
+
+def refined_quantiles(profiles: DataFrame, df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
+    """One row: the item at place floor(q * n) for each quantile, exact at any size, from a profile of the frame and its rows.
+
+    The sketch's neighbours of each rank cut the values into intervals; all rows are counted by interval, and only the
+    values of intervals that hold a place are ranked, a task for each. A sketch that errs makes these wider, not wrong.
+    """
+    from pyspark.sql import Window as W
+
+    ranks = sorted({min(1.0, max(0.0, q + s)) for q in probabilities.values() for s in (-SLACK, SLACK)})
+    asked = F.kll_sketch_get_quantile_double(F.col("kll"), F.array(*map(F.lit, ranks)))
+    # sketches are random, so both passes read the cuts of one; a row of two numbers for each quantile comes to the driver
+    found = profiles.where((F.col("column") == column) & (F.col("d_n") > 0)).select(asked).first()
+    cuts = sorted(set(found[0])) if found else []
+    x = as_number(F.col(f"`{column}`"), df.schema[column].dataType)
+    part = sum(((F.col("x") > c).cast("int") for c in cuts), F.lit(0))
+    rows = df.select(x.alias("x")).where("x IS NOT NULL").withColumn("part", part)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("k"))  # a row for each interval
+    before = sizes.withColumns({"offset": F.sum("k").over(W.orderBy("part")) - F.col("k"), "n": F.sum("k").over(W.partitionBy(F.lit(0)))})
+    places = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.lit(float(q)) * F.col("n")), F.col("n") - 1).alias("place")) for name, q in probabilities.items()])
+    chosen = before.select("part", "offset", "k", F.inline(places)).where("place >= offset AND place < offset + k").drop("k")
+    values = rows.join(F.broadcast(chosen.select("part").distinct()), "part", "left_semi").groupBy("part", "x").agg(F.count("*").alias("k"))
+    placed = values.withColumn("upto", F.sum("k").over(W.partitionBy("part").orderBy("x"))).join(F.broadcast(chosen), "part")
+    return placed.agg(*[F.min(F.when((F.col("name") == name) & (F.col("offset") + F.col("upto") > F.col("place")), F.col("x"))).alias(name) for name in probabilities])
+
+
 def exact_top(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     """Values by how often they occur, ties by value."""
     out = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("est")).orderBy(F.desc("est"), "value")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import queries as q
-from tallyframe.operators import drift
+from tallyframe.operators import drift, summary
 from tallyframe.operators.profile import profile
 
 
@@ -40,3 +40,20 @@ def test_exact_drift_statistic(spark):
     none = a.where("false").union(spark.createDataFrame([(None, "1")], a.schema))
     assert [(r.column, r.algorithm) for r in drift.drift_scores(profile(a), profile(none), frames=(a, none)).where("column = 'x'").collect()] == [("x", None)]
     assert math.isclose(drift.drift_scores(profile(a), profile(a), frames=(a, a)).where("column = 'x'").first().p_value, 1.0)
+
+
+def suppliers(spark, folder, rows=6000):
+    spark.range(rows).select((F.col("id") * 7919 % 6007).cast("double").alias("s_acctbal")).write.parquet(f"{folder}/supplier.parquet")
+
+
+def test_quantiles_beyond_the_sketch(spark, tmp_path):
+    suppliers(spark, tmp_path)
+    assert not differences(spark, "quantiles_kll", tmp_path, "supplier")
+    # a sketch of other values cuts badly, and the quantiles are those of the rows all the same
+    df, other = spark.range(5000).select(F.col("id").alias("x")), spark.range(4).select((F.col("id") * 900).alias("x"))
+    wanted = {"a": 0.0, "b": 0.5, "c": 1.0}
+    assert tuple(summary.refined_quantiles(profile(other), df, "x", wanted).first()) == (0, 2500, 4999)
+    odd = spark.createDataFrame([(None,), (float("nan"),), (2.0,), (2.0,), (2.0,)], "x double")
+    assert tuple(summary.refined_quantiles(profile(odd), odd, "x", wanted).first()) == (2, 2, 2)
+    none = odd.where("false")
+    assert tuple(summary.refined_quantiles(profile(none), none, "x", wanted).first()) == (None, None, None)
