@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,13 +186,37 @@ def top_items(profiles: DataFrame, n: int = 10) -> DataFrame:
     return profiles.select(*keys, F.transform(items, lambda i: F.concat_ws(":", i["item"], i["count"])).alias("items"))
 
 
-def sketch_histogram(profiles: DataFrame, max_buckets: int = 30) -> DataFrame:
-    """(keys, edges, counts) of each numeric column, from its sketch: bins as `histogram` has them."""
-    keys = [c for c in profiles.columns if c not in STATES]
+def _bins(max_buckets: int) -> tuple[Column, Column]:
+    """Number and width of a profile's bins."""
     one = (F.col("d_n") < 2) | (F.col("min") == F.col("max"))
     end = F.col("max") + F.abs("max") * 1e-7
     count = F.when(one, 1).otherwise(F.greatest(F.lit(2), F.least(F.lit(max_buckets), F.ceil(F.col("d_n") / 4).cast("int"))))
-    width = F.when(one, F.greatest(F.abs("min") * 1e-7, F.lit(1.1754943508222875e-38))).otherwise((end - F.col("min")) / count)
+    return count, F.when(one, F.greatest(F.abs("min") * 1e-7, F.lit(1.1754943508222875e-38))).otherwise((end - F.col("min")) / count)
+
+
+def counted_histogram(profiles: DataFrame, df: DataFrame, max_buckets: int = 30) -> DataFrame:
+    """`sketch_histogram` of a profile of the whole frame, with the rows of each bin counted: exact at any size."""
+    sketched = sketch_histogram(profiles, max_buckets)
+    count, width = _bins(max_buckets)
+    plan = profiles.where("d_n > 0").select("column", F.col("min").alias("low"), width.alias("width"), count.alias("bins"))
+    found = []
+    for f in df.schema.fields:
+        if (x := as_number(F.col(f"`{f.name}`"), f.dataType)) is None:
+            continue
+        own = F.broadcast(plan.where(F.col("column") == f.name))  # one row
+        place = F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.col("bins") - 1).cast("int")
+        found.append(df.select(x.alias("x")).where("x IS NOT NULL").crossJoin(own).groupBy("column", place.alias("bin")).agg(F.count("*").alias("k")))
+    if not found:
+        return sketched
+    by_bin = reduce(DataFrame.unionByName, found).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("rows"))  # at most max_buckets entries
+    counted = F.transform("counts", lambda _, i: F.coalesce(F.try_element_at("rows", i), F.lit(0).cast("long")))
+    return sketched.join(F.broadcast(by_bin), "column", "left").select(*[c for c in sketched.columns if c != "counts"], F.when(F.col("rows").isNull(), F.col("counts")).otherwise(counted).alias("counts"))
+
+
+def sketch_histogram(profiles: DataFrame, max_buckets: int = 30) -> DataFrame:
+    """(keys, edges, counts) of each numeric column, from its sketch: bins as `histogram` has them."""
+    keys = [c for c in profiles.columns if c not in STATES]
+    count, width = _bins(max_buckets)
     rows = profiles.where("d_n > 0").select(*keys, "kll", "d_n", F.transform(F.sequence(F.lit(0), count), lambda i: F.col("min") + i * width).alias("edges"))
     rows = rows.withColumn("grid", grid()).drop("kll")
     upto = F.transform("edges", lambda e: below(F.col("grid"), e))

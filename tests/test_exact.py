@@ -57,3 +57,11 @@ def test_quantiles_beyond_the_sketch(spark, tmp_path):
     assert tuple(summary.refined_quantiles(profile(odd), odd, "x", wanted).first()) == (2, 2, 2)
     none = odd.where("false")
     assert tuple(summary.refined_quantiles(profile(none), none, "x", wanted).first()) == (None, None, None)
+
+
+def test_histogram_beyond_the_sketch(spark, tmp_path):
+    suppliers(spark, tmp_path)
+    assert not differences(spark, "sketch_histogram", tmp_path, "supplier")
+    df = spark.range(5000).select("id", F.when(F.col("id") > 0, 7.0).alias("same"), F.lit(None).cast("double").alias("none"), F.lit("s").alias("text"))
+    got = {r["column"]: r.counts for r in summary.counted_histogram(profile(df), df).collect()}
+    assert sum(got["id"]) == 5000 and max(got["id"]) - min(got["id"]) <= 1 and got["same"] == [4999] and set(got) == {"id", "same"}
